@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .bpecount import count_tokens
 from .common import load
 from .packing import pack
+from .simhash import near_duplicates
 from .sstable import token_tables
 
 
@@ -29,9 +30,13 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "documents"), distance=4)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(load(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_tables, op7_pack, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_token_tables, op7_pack, op9_simhash, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
