@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .bpecount import count_tokens
 from .common import load
+from .decontam import detect
+from .langid import fit, held_out, predict
 from .packing import pack
 from .simhash import near_duplicates
 from .sstable import token_tables
@@ -25,11 +27,22 @@ def op1_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_tables(load(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), words=10)
+    names = F.array_join("items", ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated")
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(load(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2, window=4096)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return predict(docs, fit(docs.where(~held_out("doc_id"))))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), distance=4)
 
@@ -38,5 +51,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(load(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_tables, op7_pack, op9_simhash, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_token_tables, op2_decontaminate, op7_pack, op8_language, op9_simhash, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
