@@ -12,9 +12,13 @@ from .bpecount import count_tokens
 from .common import load
 from .decontam import detect
 from .langid import fit, held_out, predict
+from .linededup import line_report
 from .packing import pack
+from .rules import judge
 from .simhash import near_duplicates
 from .sstable import token_tables
+from .urlfilter import evaluate, host_of
+from .warc import archive
 
 
 def tokenizer_file(name: str) -> str:
@@ -33,6 +37,36 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated")
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures are the pages, fetched on day page_id mod 365. The list log is made of all their hosts:
+    each is added on a day that its length and first letter give and removed 40 days later; hosts under
+    example.com are added again for good; all of example.org is listed from day 100 to 200."""
+    pages = load(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.pmod("page_id", F.lit(365)).alias("fetched"))
+    hosts = pages.select(host_of(F.col("url")).alias("pattern")).where("pattern <> ''").distinct()
+    day = F.pmod(F.length("pattern") * 37 + F.ascii("pattern") * 11, F.lit(300)).cast("long")
+    listed = [
+        hosts.select(F.lit("hosts").alias("list_id"), "pattern", F.lit("add").alias("action"), day.alias("at")),
+        hosts.select(F.lit("hosts"), "pattern", F.lit("remove"), day + 40),
+        hosts.where("pattern like '%.example.com'").select(F.lit("hosts"), "pattern", F.lit("add"), day + 90),
+        spark.sql("select * from values ('domains', 'example.org', 'add', 100L), ('domains', 'example.org', 'remove', 200L), ('paths', 'example.net/en', 'add', 250L) as t(list_id, pattern, action, at)"),
+    ]
+    entries = listed[0].union(listed[1]).union(listed[2]).union(listed[3])
+    return evaluate(captures, entries)
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(load(spark, sf_dir, "pages"), min_bytes=0)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(load(spark, sf_dir, "documents"))
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(load(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2, window=4096)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -51,5 +85,30 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(load(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_tables, op2_decontaminate, op7_pack, op8_language, op9_simhash, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_tables, op2_decontaminate, op3_url_filters, op4_warc, op5_quality, op6_line_dedup, op7_pack, op8_language, op9_simhash, op10_token_counts)}
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filters": r"""
+        with c as (select page_id, url, page_id % 365 as t, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) as host,
+                          regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]+)', 1) as part from pages),
+        h as (select distinct host as pattern, (length(host) * 37 + ascii(host) * 11) % 300 as day from c where host <> ''),
+        e as (select 'hosts' as list_id, pattern, day as since, day + 40 as until from h
+              union all select 'hosts', pattern, day + 90, 1000000 from h where pattern like '%.example.com'
+              union all select 'domains', 'example.org', 100, 200
+              union all select 'paths', 'example.net/en', 250, 1000000),
+        m as (select distinct c.page_id, e.list_id from c join e on c.t >= e.since and c.t < e.until
+              and (e.pattern = c.host or (e.list_id = 'domains' and (c.host = e.pattern or c.host like '%.' || e.pattern))
+                   or (e.list_id = 'paths' and (c.host || c.part = e.pattern or c.host || c.part like '%.' || e.pattern)))),
+        g as (select page_id, count(*) as n, string_agg(list_id, ',' order by list_id) as names from m group by page_id)
+        select c.page_id, c.t as fetched, g.n is not null as blocked, coalesce(g.n, 0) as n_lists, coalesce(g.names, '') as lists
+        from c left join g using (page_id)
+    """,
+    "op4_warc": r"""
+        with p as (select page_id, coalesce(html, '') as html from pages),
+        d as (select page_id, html, strlen(html) as payload_bytes, sha1(html) as s, min(page_id) over (partition by html) as first from p)
+        select page_id, payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(s, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::INT, 1)), '') as payload_digest,
+               case when page_id = first then 'response' else 'revisit' end as record_type,
+               case when page_id <> first then first end as refers_to
+        from d
+    """,
+}

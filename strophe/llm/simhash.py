@@ -152,3 +152,13 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "do
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     out = marked.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The document of the least id of each component, all columns as they are.
+
+    Documents without an id stay; rows that repeat the least id of a component stay together.
+    """
+    groups = near_duplicates(docs, distance, id_col, text_col)
+    gone = groups.where(F.col(id_col).isNotNull() & (F.col(id_col) != F.col("component_id"))).select(F.col(id_col).alias("__strophe_id")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("__strophe_id"), "left_anti").select(*docs.columns)
