@@ -178,7 +178,10 @@ class Shard:
 def write_token_tables(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> None:
     """Encodes whole texts and writes shards in ascending order of the identifier below path."""
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    shards = plan_bytes(picked) // shard_bytes + 1
+    size = plan_bytes(picked)
+    if size > 1 << 56:  # not files, so Catalyst has no figure; measure
+        size = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = size // shard_bytes + 1
     dealt = picked.repartitionByRange(shards, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
