@@ -6,7 +6,7 @@ random numbers makes as many orders of the hashes. Lines that agree on a band's
 at similarity 0.8 a pair misses all eight bands of three with probability 0.003.
 
 Buckets are worked off without forming all their pairs. First every member is verified against the
-bucket's most frequent line (exact Jaccard similarity of the shingle sets), and union-find joins those at
+bucket's heaviest line (occurrences times length) (exact Jaccard similarity of the shingle sets), and union-find joins those at
 0.8 or more. Only then are pairs verified whose lines are still in different components. So a large group
 of edited copies costs a row a member, and no link that matters is lost.
 
@@ -60,20 +60,23 @@ def _check() -> Column:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """lid, m0 ... (minima) of each distinct line."""
+    """lid, weight (which grows with the line's occurrences), m0 ... (minima) of each distinct line."""
     width = 2 * SHINGLE
     units = lines.select(_lid().alias("lid"), F.encode("line", "UTF-16BE").alias("b"))
     blocks = units.select("lid", "b", F.explode(F.expr(f"sequence(1, length(b) - {width - 1}, {2 * STEP})")).alias("i"))
     hashes = blocks.select("lid", *[F.xxhash64(F.expr(f"substring(b, least(i + {2 * k}, length(b) - {width - 1}), {width})")).alias(f"h{k}") for k in range(STEP)])
     least = [F.min(F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(mask)) for k in range(STEP)])).alias(f"m{j}") for j, mask in enumerate(MASKS)]
-    return hashes.groupBy("lid").agg(*least)
+    return hashes.groupBy("lid").agg(F.count(F.lit(1)).alias("weight"), *least)
 
 
 def shingle_set(line: Column) -> Column:
-    """The distinct shingle hashes of a line."""
+    """The distinct shingle hashes of a line. The outer lambda names the encoded line, so it is made once."""
     width = 2 * SHINGLE
-    b = F.encode(line, "UTF-16BE")
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(b) - (width - 1), F.lit(2)), lambda i: F.xxhash64(F.substring(b, i, F.lit(width)))))
+
+    def hashes(b: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(b) - (width - 1), F.lit(2)), lambda i: F.xxhash64(F.substring(b, i, F.lit(width)))))
+
+    return F.element_at(F.transform(F.array(F.encode(line, "UTF-16BE")), hashes), 1)
 
 
 def _in_bitmap(lines: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -87,53 +90,58 @@ def _in_bitmap(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.withColumns({"__strophe_byte": byte, "__strophe_bit": bit}).where(is_set).drop("bucket", "map", "__strophe_byte", "__strophe_bit")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) whose shingle sets reach SIMILARITY."""
-    left = sets.select(F.col("lid").alias("u"), F.col("s").alias("su"))
-    right = sets.select(F.col("lid").alias("v"), F.col("s").alias("sv"))
-    both = pairs.join(left, "u").join(right, "v").withColumn("common", F.size(F.array_intersect("su", "sv")))
-    return both.where(F.col("common") >= SIMILARITY * (F.size("su") + F.size("sv") - F.col("common"))).select("u", "v")
+    left = texts.select(F.col("lid").alias("u"), F.col("line").alias("lu"))
+    right = texts.select(F.col("lid").alias("v"), F.col("line").alias("lv"))
+    sets = F.struct(shingle_set(F.col("lu")).alias("u"), shingle_set(F.col("lv")).alias("v"))
+
+    def similar(s: Column) -> Column:
+        a, b = s.getField("u"), s.getField("v")
+        common = F.size(F.array_intersect(a, b))
+        return common >= SIMILARITY * (F.size(a) + F.size(b) - common)
+
+    both = pairs.join(left, "u").join(right, "v")
+    return both.where(F.exists(F.array(sets), similar)).select("u", "v")
 
 
-def line_components(lines: DataFrame, counts: DataFrame) -> DataFrame:
-    """node (lid), component of the lines that are linked to another line. counts: lid, cnt."""
-    minima = signatures(lines).join(counts, "lid")
+def line_components(lines: DataFrame) -> DataFrame:
+    """node (lid), component of the lines that are linked to another line."""
+    minima = signatures(lines)
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-    keyed = minima.select("lid", "cnt", F.explode(keys).alias("key"))
+    keyed = minima.select("lid", "weight", F.explode(keys).alias("key"))
     own = Window.partitionBy("key")
-    members = keyed.withColumns({"size": F.count(F.lit(1)).over(own), "pivot": F.max(F.struct("cnt", "lid")).over(own).getField("lid")}).where("size > 1").select("key", "lid", "pivot")
+    members = keyed.withColumns({"size": F.count(F.lit(1)).over(own), "pivot": F.max(F.struct("weight", "lid")).over(own).getField("lid")}).where("size > 1").select("key", "lid", "pivot")
     members, _ = materialize(members, "buckets")
 
     wanted = members.select("lid").distinct()
     near = _in_bitmap(lines.select(_lid().alias("lid"), "line"), wanted).dropDuplicates(["lid"]).join(wanted, "lid", "left_semi")
-    sets, _ = materialize(near.select("lid", shingle_set(F.col("line")).alias("s")), "shingles")
+    texts, _ = materialize(near, "candidates")
 
     to_pivot = members.where("lid <> pivot").select(F.greatest("lid", "pivot").alias("u"), F.least("lid", "pivot").alias("v")).distinct()
-    first, _ = materialize(_verified(to_pivot, sets), "links")
+    first, _ = materialize(_verified(to_pivot, texts), "links")
     named = components(first)
 
     label = F.coalesce("component", "lid")
     labelled = members.join(named, members["lid"] == named["node"], "left").select("key", "lid", label.alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     rest, _ = materialize(labelled.join(mixed, "key", "left_semi"), "mixed")
-    a = rest.select("key", F.col("lid").alias("u"), F.col("label").alias("lu"))
-    b = rest.select("key", F.col("lid").alias("v"), F.col("label").alias("lv"))
-    across = a.join(b, "key").where("u > v and lu <> lv").select("u", "v").distinct().join(to_pivot, ["u", "v"], "left_anti")
-    second, _ = materialize(_verified(across, sets), "links")
+    a = rest.select("key", F.col("lid").alias("u"), F.col("label").alias("cu"))
+    b = rest.select("key", F.col("lid").alias("v"), F.col("label").alias("cv"))
+    across = a.join(b, "key").where("u > v and cu <> cv").select("u", "v").distinct().join(to_pivot, ["u", "v"], "left_anti")
+    second, _ = materialize(_verified(across, texts), "links")
     return components(first.union(second))
 
 
 def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """lid, keep (id, n): for lines that occur twice or have near copies, the one occurrence that stays."""
     lines = lines_of(docs, id_col, text_col)
+    named = line_components(lines)
     counts = lines.groupBy(_lid().alias("lid")).agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct("id", "n")).alias("first"), F.min(_check()).alias("check"), F.max(_check()).alias("other"))
-    counts, _ = materialize(counts, "lines")
-    clear = counts.where("check = other")
-    named = line_components(lines, clear.select("lid", "cnt"))
-    placed = clear.join(named, clear["lid"] == named["node"], "left").select("lid", "cnt", "first", "component")
-    best = placed.where("component is not null").groupBy("component").agg(F.min("first").alias("keep"))
-    fuzzy = placed.where("component is not null").join(best, "component").select("lid", "keep")
-    return placed.where("component is null and cnt > 1").select("lid", F.col("first").alias("keep")).union(fuzzy)
+    met = counts.where("check = other").join(named, F.col("lid") == F.col("node"), "left").where("component is not null or cnt > 1")
+    placed, _ = materialize(met.select("lid", "first", F.coalesce("component", "lid").alias("component")), "lines")
+    best = placed.groupBy("component").agg(F.min("first").alias("keep"))
+    return placed.join(best, "component").select("lid", "keep")
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
