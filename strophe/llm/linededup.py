@@ -7,8 +7,9 @@ at similarity 0.8 a pair misses all eight bands of three with probability 0.003.
 
 Buckets are worked off without forming all their pairs. First every member is verified against the
 bucket's heaviest line (occurrences times length) (exact Jaccard similarity of the shingle sets), and union-find joins those at
-0.8 or more. Only then are pairs verified whose lines are still in different components. So a large group
-of edited copies costs a row a member, and no link that matters is lost.
+0.8 or more. Only then are pairs verified whose lines are still in different components and whose
+distances to the bucket's line differ by at most 0.2, as those of linked lines must: Jaccard distance is
+a metric. So a large group of edited copies costs little more than a row a member, and no link is lost.
 
 Of each component the line of the smallest (id, line number) stays; lines with equal text are one node,
 and their other occurrences go too. Nodes are 64-bit hashes of lines; a second hash tells collisions, and
@@ -37,6 +38,7 @@ SHINGLE = 8
 MIN_CHARS = 24
 BANDS, ROWS = 8, 3
 SIMILARITY = 0.8
+ROUNDING = 1e-9
 STEP = 4  # shingles hashed side by side in one row
 BITMAP_BITS = 1 << 23
 
@@ -90,19 +92,22 @@ def _in_bitmap(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.withColumns({"__strophe_byte": byte, "__strophe_bit": bit}).where(is_set).drop("bucket", "map", "__strophe_byte", "__strophe_bit")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose shingle sets reach SIMILARITY."""
+def _measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) with the exact distance d = 1 - Jaccard similarity of their shingle sets."""
     left = texts.select(F.col("lid").alias("u"), F.col("line").alias("lu"))
     right = texts.select(F.col("lid").alias("v"), F.col("line").alias("lv"))
     sets = F.struct(shingle_set(F.col("lu")).alias("u"), shingle_set(F.col("lv")).alias("v"))
 
-    def similar(s: Column) -> Column:
+    def distance(s: Column) -> Column:
         a, b = s.getField("u"), s.getField("v")
         common = F.size(F.array_intersect(a, b))
-        return common >= SIMILARITY * (F.size(a) + F.size(b) - common)
+        return 1 - common / (F.size(a) + F.size(b) - common)
 
-    both = pairs.join(left, "u").join(right, "v")
-    return both.where(F.exists(F.array(sets), similar)).select("u", "v")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", F.element_at(F.transform(F.array(sets), distance), 1).alias("d"))
+
+
+def _linked(measured: DataFrame) -> DataFrame:
+    return measured.where(F.col("d") <= 1 - SIMILARITY + ROUNDING).select("u", "v")
 
 
 def line_components(lines: DataFrame) -> DataFrame:
@@ -119,17 +124,22 @@ def line_components(lines: DataFrame) -> DataFrame:
     texts, _ = materialize(near, "candidates")
 
     to_pivot = members.where("lid <> pivot").select(F.greatest("lid", "pivot").alias("u"), F.least("lid", "pivot").alias("v")).distinct()
-    first, _ = materialize(_verified(to_pivot, texts), "links")
+    measured, _ = materialize(_measured(to_pivot, texts), "measured")
+    first = _linked(measured)
     named = components(first)
 
+    # a member's distance to its bucket's pivot, and its component so far
     label = F.coalesce("component", "lid")
-    labelled = members.join(named, members["lid"] == named["node"], "left").select("key", "lid", label.alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    rest, _ = materialize(labelled.join(mixed, "key", "left_semi"), "mixed")
-    a = rest.select("key", F.col("lid").alias("u"), F.col("label").alias("cu"))
-    b = rest.select("key", F.col("lid").alias("v"), F.col("label").alias("cv"))
-    across = a.join(b, "key").where("u > v and cu <> cv").select("u", "v").distinct().join(to_pivot, ["u", "v"], "left_anti")
-    second, _ = materialize(_verified(across, texts), "links")
+    labelled = members.join(named, members["lid"] == named["node"], "left").select("key", "lid", label.alias("label"), F.greatest("lid", "pivot").alias("u"), F.least("lid", "pivot").alias("v"))
+    placed = labelled.join(measured, ["u", "v"], "left").select("key", "lid", "label", F.coalesce("d", F.lit(0.0)).alias("d"))
+    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    rest, _ = materialize(placed.join(mixed, "key", "left_semi"), "mixed")
+    a = rest.select("key", F.col("lid").alias("u"), F.col("label").alias("cu"), F.col("d").alias("du"))
+    b = rest.select("key", F.col("lid").alias("v"), F.col("label").alias("cv"), F.col("d").alias("dv"))
+    # Jaccard distance is a metric: two lines whose distances to the pivot differ by more cannot be linked
+    apart = F.abs(F.col("du") - F.col("dv")) <= 1 - SIMILARITY + ROUNDING
+    across = a.join(b, (a["key"] == b["key"]) & (F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & apart & (F.col("du") > 0) & (F.col("dv") > 0)).select("u", "v").distinct()
+    second, _ = materialize(_linked(_measured(across, texts)), "links")
     return components(first.union(second))
 
 
