@@ -5,10 +5,12 @@ Every function keeps one partitioning, by take, so a chain of them needs one exc
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-TAKE = Window.partitionBy("take_id").orderBy("frame_idx")
+def take_order() -> WindowSpec:
+    """Frames of a take in order."""
+    return Window.partitionBy("take_id").orderBy("frame_idx")
 
 
 def tonal(clarity: float = 0.5, snr: float = 12.0, second: float = 6.0) -> Column:
@@ -23,12 +25,12 @@ def with_gate(frames: DataFrame, floor_db: float, onset: float = 12.0, sustain:
     high, low = max(absolute, floor_db + onset), max(absolute, floor_db + sustain)
     level = F.col("band_rms_db")
     turn = F.when(~F.col("candidate") | (level < low), False).when(level >= high, True)
-    return frames.withColumn("voiced", F.coalesce(F.last(turn, ignorenulls=True).over(TAKE), F.lit(False)))
+    return frames.withColumn("voiced", F.coalesce(F.last(turn, ignorenulls=True).over(take_order()), F.lit(False)))
 
 
 def runs(frames: DataFrame, flag: str, least: int) -> DataFrame:
     """take_id, start_idx, end_idx, n of maximal stretches of frames with the flag, least frames at least."""
-    kept = frames.where(flag).withColumn("island", F.col("frame_idx") - F.row_number().over(TAKE))
+    kept = frames.where(flag).withColumn("island", F.col("frame_idx") - F.row_number().over(take_order()))
     spans = kept.groupBy("take_id", "island").agg(F.min("frame_idx").alias("start_idx"), F.max("frame_idx").alias("end_idx"), F.count(F.lit(1)).alias("n"))
     return spans.where(F.col("n") >= least).drop("island")
 
@@ -42,17 +44,17 @@ def sliding_median(x: str, by: list[str], order: str, half: int) -> Column:
 
 def slope(x: str, period: float) -> Column:
     """Central difference a second, one-sided at a take's ends."""
-    before, after = F.lag(x).over(TAKE), F.lead(x).over(TAKE)
+    before, after = F.lag(x).over(take_order()), F.lead(x).over(take_order())
     return F.when(before.isNotNull() & after.isNotNull(), (after - before) / (2 * period)).when(after.isNotNull(), (after - F.col(x)) / period).when(before.isNotNull(), (F.col(x) - before) / period)
 
 
 def centre(frames: DataFrame, x: str, width: int) -> DataFrame:
     """Adds centre: the midpoint of the least-spread window of width frames that holds the frame, earliest on ties."""
-    ahead = TAKE.rowsBetween(0, width - 1)
+    ahead = take_order().rowsBetween(0, width - 1)
     low, high = F.min(x).over(ahead), F.max(x).over(ahead)
     full = F.count(F.lit(1)).over(ahead) == width
     marked = frames.withColumn("spread", F.when(full, F.struct((high - low).alias("spread"), F.col("frame_idx").alias("at"), ((high + low) / 2).alias("mid"))))
-    back = TAKE.rowsBetween(-(width - 1), 0)
+    back = take_order().rowsBetween(-(width - 1), 0)
     return marked.withColumn("centre", F.min("spread").over(back).getField("mid")).drop("spread")
 
 

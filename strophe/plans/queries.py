@@ -97,7 +97,7 @@ def run_summary(spark, sf_dir):
     """Voiced runs and the median pitch of each: one exchange by take, then a range join within it."""
     own = _frames(spark, sf_dir)
     kept = own.withColumn("flag", F.coalesce(F.expr("hz > 0 and clarity >= 0.25"), F.lit(False))).where("flag")
-    island = kept.withColumn("island", F.col("frame_idx") - F.row_number().over(frames.TAKE))
+    island = kept.withColumn("island", F.col("frame_idx") - F.row_number().over(frames.take_order()))
     spans = island.groupBy("take_id", "island").agg(F.min("frame_idx").alias("start_idx"), F.max("frame_idx").alias("end_idx"), F.count(F.lit(1)).alias("n"), P.six(F.median(_midi())).alias("midi"))
     return spans.where("n >= 3").drop("island")
 
@@ -131,7 +131,7 @@ def note_windows(spark, sf_dir):
 
 @query(" select take_id, frame_idx, last_value(hz ignore nulls) over (partition by take_id order by frame_idx rows between 3 preceding and current row) as held from frames_ev", "frames_ev")
 def held_reading(spark, sf_dir):
-    return _frames(spark, sf_dir).select("take_id", "frame_idx", F.last("hz", ignorenulls=True).over(frames.TAKE.rowsBetween(-3, 0)).alias("held"))
+    return _frames(spark, sf_dir).select("take_id", "frame_idx", F.last("hz", ignorenulls=True).over(frames.take_order().rowsBetween(-3, 0)).alias("held"))
 
 
 @query(" select user_id, attempt_id, attempt_no from (select *, row_number() over (partition by user_id order by attempt_no desc) as r from attempts_o) where r <= 20", "attempts_o")
