@@ -53,7 +53,8 @@ def place(encoded: DataFrame) -> DataFrame:
     # one short row a partition
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    return encoded.join(offsets, "part").withColumn("begin", F.col("base") + F.col("at"))
+    # broadcast: its rows are as many as the first pass had tasks, 16 bytes each, whatever the data's size
+    return encoded.join(F.broadcast(offsets), "part").withColumn("begin", F.col("base") + F.col("at"))
 
 
 def cut(placed: DataFrame, window: int = 4096) -> DataFrame:
