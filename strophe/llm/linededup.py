@@ -6,10 +6,10 @@ random numbers makes as many orders of the hashes. Lines that agree on a band's
 at similarity 0.8 a pair misses all eight bands of three with probability 0.003.
 
 Buckets are worked off without forming all their pairs. First every member is verified against the
-bucket's heaviest line (occurrences times length) (exact Jaccard similarity of the shingle sets), and union-find joins those at
-0.8 or more. Only then are pairs verified whose lines are still in different components and whose
-distances to the bucket's line differ by at most 0.2, as those of linked lines must: Jaccard distance is
-a metric. So a large group of edited copies costs little more than a row a member, and no link is lost.
+bucket's heaviest line (occurrences times length) by the exact Jaccard similarity of the shingle sets,
+and union-find joins those at 0.8 or more. Only then are pairs verified whose lines are still in
+different components. Before either verification a bit map of each candidate's shingles (4,096 bits)
+sorts out pairs that differ in more bits than alike lines can: a bound, so no link is lost.
 
 Of each component the line of the smallest (id, line number) stays; lines with equal text are one node,
 and their other occurrences go too. Nodes are 64-bit hashes of lines; a second hash tells collisions, and
@@ -39,6 +39,7 @@ MIN_CHARS = 24
 BANDS, ROWS = 8, 3
 SIMILARITY = 0.8
 ROUNDING = 1e-9
+WORDS = 64  # of 64 bits in a line's map
 STEP = 4  # shingles hashed side by side in one row
 BITMAP_BITS = 1 << 23
 
@@ -110,6 +111,25 @@ def _linked(measured: DataFrame) -> DataFrame:
     return measured.where(F.col("d") <= 1 - SIMILARITY + ROUNDING).select("u", "v")
 
 
+def sketches(texts: DataFrame) -> DataFrame:
+    """lid, places (of shingles), map: 64 words in which every shingle sets the bit that its hash names."""
+    width = 2 * SHINGLE
+    units = texts.select("lid", F.encode("line", "UTF-16BE").alias("b"))
+    places = units.select("lid", "b", F.explode(F.expr(f"sequence(1, length(b) - {width - 1}, 2)")).alias("i"))
+    hashes = places.select("lid", F.xxhash64(F.expr(f"substring(b, i, {width})")).alias("h"))
+    bits = hashes.select("lid", F.expr(f"cast(h & {WORDS - 1} as int)").alias("word"), F.expr("shiftleft(1L, cast(shiftright(h, 6) & 63 as int))").alias("bit"))
+    words = [F.bit_or(F.when(F.col("word") == j, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{j}") for j in range(WORDS)]
+    made = bits.groupBy("lid").agg(F.count(F.lit(1)).alias("places"), *words)
+    return made.select("lid", "places", F.array(*[F.col(f"w{j}") for j in range(WORDS)]).alias("map"))
+
+
+def _may_link() -> Column:
+    """False only for lines (um, un), (vm, vn) that are surely less alike than SIMILARITY: each bit in which
+    their maps differ is a shingle of one alone, and alike lines have few of those for their sizes."""
+    differing = F.aggregate(F.zip_with("um", "vm", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return differing <= (F.col("un") + F.col("vn")) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + ROUNDING
+
+
 def line_components(lines: DataFrame) -> DataFrame:
     """node (lid), component of the lines that are linked to another line."""
     minima = signatures(lines)
@@ -122,23 +142,21 @@ def line_components(lines: DataFrame) -> DataFrame:
     wanted = members.select("lid").distinct()
     near = _in_bitmap(lines.select(_lid().alias("lid"), "line"), wanted).dropDuplicates(["lid"]).join(wanted, "lid", "left_semi")
     texts, _ = materialize(near, "candidates")
+    maps, _ = materialize(sketches(texts), "sketches")
+    us = maps.select(F.col("lid").alias("u"), F.col("places").alias("un"), F.col("map").alias("um"))
+    vs = maps.select(F.col("lid").alias("v"), F.col("places").alias("vn"), F.col("map").alias("vm"))
 
     to_pivot = members.where("lid <> pivot").select(F.greatest("lid", "pivot").alias("u"), F.least("lid", "pivot").alias("v")).distinct()
-    measured, _ = materialize(_measured(to_pivot, texts), "measured")
-    first = _linked(measured)
+    alike = to_pivot.join(us, "u").join(vs, "v").where(_may_link()).select("u", "v")
+    first, _ = materialize(_linked(_measured(alike, texts)), "links")
     named = components(first)
 
-    # a member's distance to its bucket's pivot, and its component so far
-    label = F.coalesce("component", "lid")
-    labelled = members.join(named, members["lid"] == named["node"], "left").select("key", "lid", label.alias("label"), F.greatest("lid", "pivot").alias("u"), F.least("lid", "pivot").alias("v"))
-    placed = labelled.join(measured, ["u", "v"], "left").select("key", "lid", "label", F.coalesce("d", F.lit(0.0)).alias("d"))
-    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    rest, _ = materialize(placed.join(mixed, "key", "left_semi"), "mixed")
-    a = rest.select("key", F.col("lid").alias("u"), F.col("label").alias("cu"), F.col("d").alias("du"))
-    b = rest.select("key", F.col("lid").alias("v"), F.col("label").alias("cv"), F.col("d").alias("dv"))
-    # Jaccard distance is a metric: two lines whose distances to the pivot differ by more cannot be linked
-    apart = F.abs(F.col("du") - F.col("dv")) <= 1 - SIMILARITY + ROUNDING
-    across = a.join(b, (a["key"] == b["key"]) & (F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & apart & (F.col("du") > 0) & (F.col("dv") > 0)).select("u", "v").distinct()
+    labelled = members.join(named, members["lid"] == named["node"], "left").select("key", "lid", "pivot", F.coalesce("component", "lid").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    rest, _ = materialize(labelled.join(mixed, "key", "left_semi").where("lid <> pivot").join(maps, "lid"), "mixed")
+    a = rest.select("key", F.col("lid").alias("u"), F.col("label").alias("cu"), F.col("places").alias("un"), F.col("map").alias("um"))
+    b = rest.select("key", F.col("lid").alias("v"), F.col("label").alias("cv"), F.col("places").alias("vn"), F.col("map").alias("vm"))
+    across = a.join(b, (a["key"] == b["key"]) & (F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & _may_link()).select("u", "v").distinct()
     second, _ = materialize(_linked(_measured(across, texts)), "links")
     return components(first.union(second))
 
