@@ -167,7 +167,7 @@ def analyse(audio: DataFrame, settings: Analysis = Analysis()) -> DataFrame:
     """Frames of blocks (take_id, sample_rate, start_sample, samples): blocks of a take are joined in order.
 
     One exchange by take. A take is bounded (60 seconds are 11.5 MB), so it fits a task; rows of a take must
-    share one rate. Null samples and missing blocks are errors of the take and read as silence.
+    share one rate. Null samples and missing blocks read as silence; hz is null where there is no peak.
     """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
@@ -180,7 +180,7 @@ def analyse(audio: DataFrame, settings: Analysis = Analysis()) -> DataFrame:
                 samples[start : start + len(block)] = np.nan_to_num(np.asarray(block, dtype=np.float64))
         out = frames_of(samples, rate, settings)
         out.insert(0, "take_id", rows["take_id"].iloc[0])
-        return out.astype({"hz": object}).where(out["hz"].notna(), {"hz": None}) if len(out) else out
+        return out
 
     return audio.select("take_id", "sample_rate", "start_sample", "samples").groupBy("take_id").applyInPandas(one, FRAMES)
 
