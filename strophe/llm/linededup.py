@@ -1,7 +1,7 @@
 """Operator 6: fuzzy line deduplication by MinHash, in DataFrame operations only.
 
-A line of at least ``MIN_CHARS`` characters has the set of its ``SHINGLE``-character shingles (UTF-16
-units, every position). One 64-bit hash a shingle gives ``BANDS * ROWS`` minima: exclusive or with fixed
+Every line that is not blank takes part; a line shorter than a shingle is a copy only of lines equal to it.
+A longer line has the set of its ``SHINGLE``-character shingles (UTF-16 units, every position). One 64-bit hash a shingle gives ``BANDS * ROWS`` minima: exclusive or with fixed
 random numbers makes as many orders of the hashes. Lines that agree on a band's minima meet in a bucket;
 at similarity 0.8 a pair misses all eight bands of three with probability 0.003.
 
@@ -18,8 +18,7 @@ a line whose first hash is another line's stays where it is.
 Minima are combined before the shuffle, so frequent lines do not pile up. Texts are not shuffled to find
 lines; those of candidates are picked by a bitmap of fixed size and then an exact join.
 
-Null texts have no lines and stay null; shorter lines, blank ones too, always stay, and so do their
-places. Rows with a null id count as smallest and null ids equal each other; rows that repeat an id and
+Null texts have no lines and stay null; blank lines always stay, and so do their places. Rows with a null id count as smallest and null ids equal each other; rows that repeat an id and
 a text keep or lose the same lines. An empty table gives an empty table. ``dedup_lines`` keeps all other
 columns; names that begin with ``__strophe_`` are reserved.
 """
@@ -35,9 +34,10 @@ from .common import materialize
 from .components import components
 
 SHINGLE = 8
-MIN_CHARS = 24
+MIN_CHARS = 1
 BANDS, ROWS = 8, 3
 SIMILARITY = 0.8
+BLANK = " \t\r\x0b\x0c"
 ROUNDING = 1e-9
 WORDS = 64  # of 64 bits in a line's map
 STEP = 4  # shingles hashed side by side in one row
@@ -48,10 +48,10 @@ MASKS = [_draw.getrandbits(63) for _ in range(BANDS * ROWS)]
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, th (hash of the document's text), n (line number from 0), line, for lines long enough."""
+    """id, th (hash of the document's text), n (line number from 0), line, for lines that are not blank."""
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     every = picked.select("id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    return every.where(F.length("line") >= MIN_CHARS)
+    return every.where(F.length(F.trim("line", F.lit(BLANK))) >= MIN_CHARS)
 
 
 def _lid() -> Column:
@@ -131,7 +131,8 @@ def _may_link() -> Column:
 
 
 def line_components(lines: DataFrame) -> DataFrame:
-    """node (lid), component of the lines that are linked to another line."""
+    """node (lid), component of the lines that are linked to another line; shorter ones have no shingles to link by."""
+    lines = lines.where(F.length("line") >= SHINGLE)
     minima = signatures(lines)
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
     keyed = minima.select("lid", "weight", F.explode(keys).alias("key"))

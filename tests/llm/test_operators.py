@@ -250,6 +250,14 @@ def test_line_dedup(spark, docs, none):
     assert linededup.line_report(none).count() == 0 and linededup.dedup_lines(none).count() == 0
 
 
+def test_short_lines_are_deduplicated(spark):
+    rows = [(1, "Les.\n\nAll rights reserved.\n \t\nabc\n🙂🙂🙂"), (2, "Les.\n\nAll rights reserved!\n \t\nabd\n🙂🙂🙂"), (3, "All rights reserved.\nLes.\nab"), (4, "Les.\nLes.")]
+    got = {(r.doc_id, r.removed) for r in linededup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, ""), (2, "0,2,5"), (3, "0,1"), (4, "0,1")}
+    texts = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert texts == {1: rows[0][1], 2: "\n \t\nabd", 3: "ab", 4: ""}
+
+
 def test_components_of_long_paths(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (300, 200), (200, 250)]
     got = dict(tuple(r) for r in components.components(spark.createDataFrame(path, "u long, v long")).collect())
