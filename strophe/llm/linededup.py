@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .components import components
 
-SHINGLE = 8
+SHINGLE = 5  # one changed character inside a line of 49 or more, or a run of two in 58 or more, still links
 MIN_CHARS = 1
 BANDS, ROWS = 8, 3
 SIMILARITY = 0.8

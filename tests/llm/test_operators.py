@@ -258,6 +258,19 @@ def test_short_lines_are_deduplicated(spark):
     assert texts == {1: rows[0][1], 2: "\n \t\nabd", 3: "ab", 4: ""}
 
 
+def test_small_edits_of_lines_link(spark):
+    import random
+    import string
+
+    draw = random.Random(4)
+    base = ["".join(draw.choice(string.ascii_lowercase) for _ in range(n)) for n in (49, 55, 60, 66, 71, 90)]
+    edited = [x[:20] + "#" + x[21:] for x in base]
+    two = [x[:30] + "##" + x[32:] for x in base[2:]]
+    rows = [(i, t) for i, t in enumerate(base + edited + two)]
+    report = linededup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in report if r.n_removed} == set(range(len(base), len(rows)))
+
+
 def test_components_of_long_paths(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (300, 200), (200, 250)]
     got = dict(tuple(r) for r in components.components(spark.createDataFrame(path, "u long, v long")).collect())
