@@ -1,8 +1,8 @@
 """Operator 6: fuzzy line deduplication by MinHash, in DataFrame operations only.
 
 Every line that is not blank takes part; a line shorter than a shingle is a copy only of lines equal to it.
-A longer line has the set of its ``SHINGLE``-character shingles (UTF-16 units, every position). One 64-bit hash a shingle gives ``BANDS * ROWS`` minima: exclusive or with fixed
-random numbers makes as many orders of the hashes. Lines that agree on a band's minima meet in a bucket;
+A longer line has the set of its ``SHINGLE``-character shingles (UTF-16 units, every position). One 64-bit hash a shingle gives ``BANDS * ROWS`` minima: a rotation, other bits first
+for each, and exclusive or with fixed random numbers make as many orders of the hashes. Lines that agree on a band's minima meet in a bucket;
 at similarity 0.8 a pair misses all eight bands of three with probability 0.003.
 
 Buckets are worked off without forming all their pairs. First every member is verified against the
@@ -44,7 +44,8 @@ STEP = 4  # shingles hashed side by side in one row
 BITMAP_BITS = 1 << 23
 
 _draw = random.Random(20)
-MASKS = [_draw.getrandbits(63) for _ in range(BANDS * ROWS)]
+MASKS = [_draw.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
+TURNS = [19 * j % 64 for j in range(BANDS * ROWS)]
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,13 +63,19 @@ def _check() -> Column:
     return F.xxhash64(F.lit(1), F.col("line"))
 
 
+def _order(h: Column, j: int) -> Column:
+    """A hash as the order j has it: rotated left by TURNS[j] bits, exclusive or MASKS[j]."""
+    turned = F.shiftleft(h, TURNS[j]).bitwiseOR(F.shiftrightunsigned(h, 64 - TURNS[j])) if TURNS[j] else h
+    return turned.bitwiseXOR(F.lit(MASKS[j]))
+
+
 def signatures(lines: DataFrame) -> DataFrame:
     """lid, weight (which grows with the line's occurrences), m0 ... (minima) of each distinct line."""
     width = 2 * SHINGLE
     units = lines.select(_lid().alias("lid"), F.encode("line", "UTF-16BE").alias("b"))
     blocks = units.select("lid", "b", F.explode(F.expr(f"sequence(1, length(b) - {width - 1}, {2 * STEP})")).alias("i"))
     hashes = blocks.select("lid", *[F.xxhash64(F.expr(f"substring(b, least(i + {2 * k}, length(b) - {width - 1}), {width})")).alias(f"h{k}") for k in range(STEP)])
-    least = [F.min(F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(mask)) for k in range(STEP)])).alias(f"m{j}") for j, mask in enumerate(MASKS)]
+    least = [F.min(F.least(*[_order(F.col(f"h{k}"), j) for k in range(STEP)])).alias(f"m{j}") for j in range(BANDS * ROWS)]
     return hashes.groupBy("lid").agg(F.count(F.lit(1)).alias("weight"), *least)
 
 

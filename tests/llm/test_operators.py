@@ -271,6 +271,21 @@ def test_small_edits_of_lines_link(spark):
     assert {r.doc_id for r in report if r.n_removed} == set(range(len(base), len(rows)))
 
 
+def test_recall_of_short_alike_lines(spark):
+    import random
+    import string
+
+    draw = random.Random(6)
+    extra = linededup.SHINGLE
+    pairs = []
+    for _ in range(2000):  # 4 * extra shingles in common, extra in one line alone: a similarity of 0.8
+        x = "".join(draw.choice(string.ascii_letters) for _ in range(4 * extra + linededup.SHINGLE - 1))
+        pairs.append((x, x + "".join(draw.choice(string.digits) for _ in range(extra))))
+    rows = [(i, "\n".join(p)) for i, p in enumerate(pairs)]
+    report = linededup.line_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sum(r.n_removed == 0 for r in report) <= 20 and all(r.removed in ("", "1") for r in report)
+
+
 def test_components_of_long_paths(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (300, 200), (200, 250)]
     got = dict(tuple(r) for r in components.components(spark.createDataFrame(path, "u long, v long")).collect())
