@@ -1,7 +1,7 @@
 """Helpers that the operators of this subpackage share.
 
 Scratch tables live under ``spark.checkpoint.dir``, the folder that driver and executors share; a
-local temporary folder is used only where that setting is absent, as in tests.
+local temporary folder is used only where that setting is absent and the master is local, as in tests.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="strophe-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -48,14 +50,31 @@ def _clean() -> None:
             return
 
 
+#: Spark's own setting: an execution's shuffle files go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Writes df to the shared folder once and returns a reader of it, which cuts the lineage."""
+    """Writes df to the shared folder once and returns a reader of it, which cuts the lineage.
+
+    The shuffle files of the write are not needed after it and are deleted at its end.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def quoted(name: str) -> str:
+    """A column's name as a reference, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of df's size, from file sizes; no job runs."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -1,66 +1,67 @@
 """Operator 6: fuzzy line deduplication by MinHash, in DataFrame operations only.
 
 Every line that is not blank takes part; a line shorter than a shingle is a copy only of lines equal to it.
-A longer line has the set of its ``SHINGLE``-character shingles (UTF-16 units, every position). One 64-bit hash a shingle gives ``BANDS * ROWS`` minima: a rotation, other bits first
-for each, and exclusive or with fixed random numbers make as many orders of the hashes. Lines that agree on a band's minima meet in a bucket;
-at similarity 0.8 a pair misses all 15 bands of five with probability 0.003, and few unlike lines meet.
-
-Buckets are worked off without forming all their pairs. First every member is verified against the
-bucket's heaviest line (occurrences times length) by the exact Jaccard similarity of the shingle sets,
-and union-find joins those at 0.8 or more. Only then are pairs verified whose lines are still in
-different components. Before either verification a bit map of each candidate's shingles (4,096 bits)
-sorts out pairs that differ in more bits than alike lines can: a bound, so no link is lost.
+A longer line has the set of its ``SHINGLE``-character shingles. One 64-bit hash a shingle gives 25
+minima: a rotation, other bits first for each, and exclusive or with fixed random numbers make as many
+orders of the hashes. The minima are the points of a 5 x 5 grid and the bands its 30 lines (rows, columns
+and diagonals that wrap), of which any two share one minimum at most: at similarity 0.8 a pair agrees on no
+band with probability 0.003, at 0.85 with 0.0003.
+
+Lines that agree on a band meet in a bucket. Buckets of two are pairs. In a larger one every member is
+first verified against its heaviest line (occurrences times length), and union-find joins those at 0.8 or
+more; only then are pairs verified whose lines are still in different components. Small buckets form those
+pairs themselves; members of larger ones meet on the rarest fifth of their shingles, of which two lines at
+0.8 or more must share one. Before a pair is verified, a bit map of each line's shingles sorts out pairs
+that differ in more bits than alike lines can: a bound, so no link is lost.
 
 Of each component the line of the smallest (id, line number) stays; lines with equal text are one node,
 and their other occurrences go too. Nodes are 64-bit hashes of lines; a second hash tells collisions, and
 a line whose first hash is another line's stays where it is.
 
-Minima are combined before the shuffle, so frequent lines do not pile up. Texts are not shuffled to find
-lines; those of candidates are picked by a bitmap of fixed size and then an exact join.
+Minima and the counts of buckets are combined before the shuffle, so frequent lines and bands do not pile
+up. Texts are not shuffled to find lines; those of candidates are picked by a bitmap and then an exact join.
 
-Null texts have no lines and stay null; blank lines always stay, and so do their places. Rows with a null id count as smallest and null ids equal each other; rows that repeat an id and
-a text keep or lose the same lines. An empty table gives an empty table. ``dedup_lines`` keeps all other
-columns; names that begin with ``__strophe_`` are reserved.
+Null texts have no lines and stay null; blank lines always stay, and so do their places. Rows with a null
+id count as smallest and null ids equal each other; rows that repeat an id and a text keep or lose the same
+lines. An empty table gives an empty table. ``dedup_lines`` keeps all other columns; names that begin with
+``__strophe_`` are reserved.
 """
 
 from __future__ import annotations
 
+import functools
 import random
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, quoted
 from .components import components
 
 SHINGLE = 5  # one changed character inside a line of 49 or more, or a run of two in 58 or more, still links
-MIN_CHARS = 1
-BANDS, ROWS = 15, 5
+GRID = 5
 SIMILARITY = 0.8
 BLANK = " \t\r\x0b\x0c"
 ROUNDING = 1e-9
-WORDS = 64  # of 64 bits in a line's map
-STEP = 4  # shingles hashed side by side in one row
-BITMAP_BITS = 1 << 23
+WORDS = 16  # of 64 bits in a line's map
+STEP = 16  # shingles hashed side by side in one row
+MAP_STEP = 4
+SMALL = 64  # lines of a bucket that form their pairs themselves, at most 32 a line
+#: Bits of a broadcast bitmap for each value it holds, and at most: 4 MB.
+BITS_EACH, BITS_MOST = 16, 1 << 25
 
 _draw = random.Random(20)
-MASKS = [_draw.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
-TURNS = [19 * j % 64 for j in range(BANDS * ROWS)]
+MASKS = [_draw.getrandbits(64) - (1 << 63) for _ in range(GRID * GRID)]
+TURNS = [19 * j % 64 for j in range(GRID * GRID)]
+#: The lines of the grid, as numbers of minima: y = slope * x + t for each slope, then x = t.
+BANDS = [[x * GRID + (slope * x + t) % GRID for x in range(GRID)] for slope in range(GRID) for t in range(GRID)] + [[t * GRID + y for y in range(GRID)] for t in range(GRID)]
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, th (hash of the document's text), n (line number from 0), line, for lines that are not blank."""
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    picked = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     every = picked.select("id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    return every.where(F.length(F.trim("line", F.lit(BLANK))) >= MIN_CHARS)
-
-
-def _lid() -> Column:
-    return F.xxhash64("line")
-
-
-def _check() -> Column:
-    return F.xxhash64(F.lit(1), F.col("line"))
+    return every.where(F.length(F.trim("line", F.lit(BLANK))) > 0)
 
 
 def _order(h: Column, j: int) -> Column:
@@ -69,129 +70,176 @@ def _order(h: Column, j: int) -> Column:
     return turned.bitwiseXOR(F.lit(MASKS[j]))
 
 
+def _hashes(lines: DataFrame, step: int, unit: int) -> DataFrame:
+    """lid and h0 ... of every step shingles of each line; the last ones may repeat.
+
+    With units of 4 bytes a shingle is SHINGLE characters, with units of 2 as many UTF-16 units, which is
+    quicker and differs only beyond the basic plane."""
+    width, last = unit * SHINGLE, f"length(b) - {unit * SHINGLE - 1}"
+    coded = lines.select("lid", F.encode("line", {2: "UTF-16BE", 4: "UTF-32"}[unit]).alias("b"))
+    blocks = coded.select("lid", "b", F.explode(F.expr(f"sequence(1, {last}, {unit * step})")).alias("i"))
+    return blocks.select("lid", *[F.xxhash64(F.expr(f"substring(b, least(i + {unit * k}, {last}), {width})")).alias(f"h{k}") for k in range(step)])
+
+
 def signatures(lines: DataFrame) -> DataFrame:
     """lid, weight (which grows with the line's occurrences), m0 ... (minima) of each distinct line."""
-    width = 2 * SHINGLE
-    units = lines.select(_lid().alias("lid"), F.encode("line", "UTF-16BE").alias("b"))
-    blocks = units.select("lid", "b", F.explode(F.expr(f"sequence(1, length(b) - {width - 1}, {2 * STEP})")).alias("i"))
-    hashes = blocks.select("lid", *[F.xxhash64(F.expr(f"substring(b, least(i + {2 * k}, length(b) - {width - 1}), {width})")).alias(f"h{k}") for k in range(STEP)])
-    least = [F.min(F.least(*[_order(F.col(f"h{k}"), j) for k in range(STEP)])).alias(f"m{j}") for j in range(BANDS * ROWS)]
-    return hashes.groupBy("lid").agg(F.count(F.lit(1)).alias("weight"), *least)
+    least = [F.min(F.least(*[_order(F.col(f"h{k}"), j) for k in range(STEP)])).alias(f"m{j}") for j in range(GRID * GRID)]
+    return _hashes(lines, STEP, 2).groupBy("lid").agg(F.count(F.lit(1)).alias("weight"), *least)
 
 
-def shingle_set(line: Column) -> Column:
-    """The distinct shingle hashes of a line. The outer lambda names the encoded line, so it is made once."""
-    width = 2 * SHINGLE
+def _shingles(line: Column) -> Column:
+    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
 
-    def hashes(b: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(b) - (width - 1), F.lit(2)), lambda i: F.xxhash64(F.substring(b, i, F.lit(width)))))
 
-    return F.element_at(F.transform(F.array(F.encode(line, "UTF-16BE")), hashes), 1)
+def _sieve(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose column may be among wanted's: a bitmap of at most BITS_MOST bits, in words, is broadcast."""
+    bits = min(BITS_MOST, 1 << max(16, (BITS_EACH * wanted.count()).bit_length()))
+    place = F.pmod(F.col(column), F.lit(bits))
+    word, bit = F.shiftright(place, 6), F.expr(f"cast(pmod(`{column}`, {bits}L) & 63 as int)")
+    parts = wanted.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("map"))
+    met = rows.withColumn("word", word).join(F.broadcast(parts), "word")
+    return met.where(F.call_function("shiftright", F.col("map"), bit).bitwiseAND(F.lit(1)) == 1).drop("word", "map")
 
 
-def _in_bitmap(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of lines whose lid may be among wanted: a bitmap of BITMAP_BITS bits, 1 MB, is broadcast."""
-    place = F.pmod(F.col("lid"), F.lit(BITMAP_BITS)) + 1
-    parts = wanted.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
-    bit = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring(F.col("map"), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    is_set = F.expr("shiftright(__strophe_byte, cast(__strophe_bit & 7 as int)) & 1 = 1")
-    met = lines.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(parts), "bucket")
-    return met.withColumns({"__strophe_byte": byte, "__strophe_bit": bit}).where(is_set).drop("bucket", "map", "__strophe_byte", "__strophe_bit")
+def buckets(minima: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v) that are buckets of two, and (key, lid, weight) of the members of larger buckets."""
+    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{j}") for j in band]) for b, band in enumerate(BANDS)])
+    keyed = minima.select("lid", "weight", F.explode(keys).alias("key"))
+    counted = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("lid").alias("u"), F.min("lid").alias("v"))
+    shared, path = materialize(counted.where("n > 1"), "shared")
+    twos, _ = materialize(shared.where("n = 2").select("u", "v").distinct(), "twos")
+    large = shared.where("n > 2").select("key")
+    members, _ = materialize(_sieve(keyed, "key", large).join(large, "key"), "buckets")
+    discard(minima.sparkSession, path)
+    return twos, members
 
 
 def _measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) with the exact distance d = 1 - Jaccard similarity of their shingle sets."""
-    left = texts.select(F.col("lid").alias("u"), F.col("line").alias("lu"))
+    """The pairs (u, v) with the exact similarity s of their shingle sets."""
     right = texts.select(F.col("lid").alias("v"), F.col("line").alias("lv"))
-    sets = F.struct(shingle_set(F.col("lu")).alias("u"), shingle_set(F.col("lv")).alias("v"))
+    met = pairs.join(texts.select(F.col("lid").alias("u"), F.col("line").alias("lu")), "u").join(right, "v")
+    sets = F.struct(_shingles(F.col("lu")).alias("a"), _shingles(F.col("lv")).alias("b"))
 
-    def distance(s: Column) -> Column:
-        a, b = s.getField("u"), s.getField("v")
-        common = F.size(F.array_intersect(a, b))
-        return 1 - common / (F.size(a) + F.size(b) - common)
+    def similarity(x: Column) -> Column:
+        return F.size(F.array_intersect(x.getField("a"), x.getField("b"))) / F.size(F.array_union(x.getField("a"), x.getField("b")))
 
-    return pairs.join(left, "u").join(right, "v").select("u", "v", F.element_at(F.transform(F.array(sets), distance), 1).alias("d"))
+    # the lambda names the two arrays, so each is made once
+    return met.select("u", "v", F.element_at(F.transform(F.array(sets), similarity), 1).alias("s"))
 
 
-def _linked(measured: DataFrame) -> DataFrame:
-    return measured.where(F.col("d") <= 1 - SIMILARITY + ROUNDING).select("u", "v")
+def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    return _measured(pairs, texts).where(F.col("s") >= SIMILARITY - ROUNDING).select("u", "v")
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """lid, places (of shingles), map: 64 words in which every shingle sets the bit that its hash names."""
-    width = 2 * SHINGLE
-    units = texts.select("lid", F.encode("line", "UTF-16BE").alias("b"))
-    places = units.select("lid", "b", F.explode(F.expr(f"sequence(1, length(b) - {width - 1}, 2)")).alias("i"))
-    hashes = places.select("lid", F.xxhash64(F.expr(f"substring(b, i, {width})")).alias("h"))
-    bits = hashes.select("lid", F.expr(f"cast(h & {WORDS - 1} as int)").alias("word"), F.expr("shiftleft(1L, cast(shiftright(h, 6) & 63 as int))").alias("bit"))
-    words = [F.bit_or(F.when(F.col("word") == j, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{j}") for j in range(WORDS)]
-    made = bits.groupBy("lid").agg(F.count(F.lit(1)).alias("places"), *words)
+    """lid, places (of shingles), map: WORDS words in which every shingle sets the bit that its hash names."""
+    hashes = _hashes(texts, MAP_STEP, 4)
+
+    def own(k: int, j: int) -> Column:
+        h = F.col(f"h{k}")
+        return F.when(h.bitwiseAND(F.lit(WORDS - 1)) == j, F.col(f"b{k}")).otherwise(F.lit(0).cast("long"))
+
+    bits = hashes.select("lid", *[F.col(f"h{k}") for k in range(MAP_STEP)], *[F.expr(f"shiftleft(1L, cast(shiftright(h{k}, 6) & 63 as int)) as b{k}") for k in range(MAP_STEP)])
+    words = [F.bit_or(functools.reduce(Column.bitwiseOR, [own(k, j) for k in range(MAP_STEP)])).alias(f"w{j}") for j in range(WORDS)]
+    made = bits.groupBy("lid").agg((F.count(F.lit(1)) * MAP_STEP).alias("places"), *words)
     return made.select("lid", "places", F.array(*[F.col(f"w{j}") for j in range(WORDS)]).alias("map"))
 
 
+def _as(maps: DataFrame, side: str) -> DataFrame:
+    return maps.select(F.col("lid").alias(side), F.col("places").alias(f"{side}n"), F.col("map").alias(f"{side}m"))
+
+
 def _may_link() -> Column:
-    """False only for lines (um, un), (vm, vn) that are surely less alike than SIMILARITY: each bit in which
-    their maps differ is a shingle of one alone, and alike lines have few of those for their sizes."""
-    differing = F.aggregate(F.zip_with("um", "vm", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    """False only for lines u and v that are surely less alike than SIMILARITY: each bit in which their
+    maps differ is a shingle of one alone, and alike lines have few of those for their sizes."""
+    differing = F.lit(0)
+    for j in range(WORDS):
+        differing = differing + F.bit_count(F.get("um", F.lit(j)).bitwiseXOR(F.get("vm", F.lit(j))))
     return differing <= (F.col("un") + F.col("vn")) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + ROUNDING
 
 
+def _rare(texts: DataFrame) -> DataFrame:
+    """lid, size (of its set), h, at (from 0) of the rarest shingles of each line, as many as one differing
+    from it by no more than SIMILARITY allows cannot all lack."""
+    every = _hashes(texts, 1, 4).select("lid", F.col("h0").alias("h")).distinct()
+    counted = every.groupBy("h").agg(F.count(F.lit(1)).alias("f"))
+    own = Window.partitionBy("lid")
+    ranked = every.join(counted, "h").select("lid", "h", (F.row_number().over(own.orderBy("f", "h")) - 1).alias("at"), F.count(F.lit(1)).over(own).alias("size"))
+    return ranked.where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * SIMILARITY - ROUNDING))
+
+
+def _rare_pairs(labelled: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (u, v) of lines (lid, label) of different labels that share a shingle among the rarest of both."""
+    rare = _rare(texts.join(labelled, "lid", "left_semi")).join(labelled, "lid")
+    mixed = rare.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h")
+    posted, path = materialize(rare.join(mixed, "h", "left_semi"), "postings")
+    side = lambda s: posted.select("h", *[F.col(c).alias(s + c) for c in ("lid", "label", "at", "size")])
+    # what both can still share, after the places before this one, must reach the common part of alike sets
+    common = F.least(F.col("usize") - F.col("uat"), F.col("vsize") - F.col("vat"))
+    enough = common >= (F.col("usize") + F.col("vsize")) * (SIMILARITY / (1 + SIMILARITY)) - ROUNDING
+    met = side("u").join(side("v"), "h").where((F.col("ulid") > F.col("vlid")) & (F.col("ulabel") != F.col("vlabel")) & enough)
+    return met.select(F.col("ulid").alias("u"), F.col("vlid").alias("v")).distinct()
+
+
 def line_components(lines: DataFrame) -> DataFrame:
-    """node (lid), component of the lines that are linked to another line; shorter ones have no shingles to link by."""
+    """node (lid), component of the lines (lid, line) that are linked to another line."""
+    spark = lines.sparkSession
     lines = lines.where(F.length("line") >= SHINGLE)
-    minima = signatures(lines)
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-    keyed = minima.select("lid", "weight", F.explode(keys).alias("key"))
-    own = Window.partitionBy("key")
-    members = keyed.withColumns({"size": F.count(F.lit(1)).over(own), "pivot": F.max(F.struct("weight", "lid")).over(own).getField("lid")}).where("size > 1").select("key", "lid", "pivot")
-    members, _ = materialize(members, "buckets")
+    minima, minima_path = materialize(signatures(lines), "minima")
+    twos, members = buckets(minima)
+    discard(spark, minima_path)
+
+    heaviest = members.groupBy("key").agg(F.max(F.struct("weight", "lid")).getField("lid").alias("pivot"))
+    pivoted, _ = materialize(members.select("key", "lid").join(heaviest, "key"), "pivots")
+    to_pivot = pivoted.where("lid <> pivot").select(F.greatest("lid", "pivot").alias("u"), F.least("lid", "pivot").alias("v"))
+    pairs, _ = materialize(twos.union(to_pivot).distinct(), "pairs")
 
-    wanted = members.select("lid").distinct()
-    near = _in_bitmap(lines.select(_lid().alias("lid"), "line"), wanted).dropDuplicates(["lid"]).join(wanted, "lid", "left_semi")
+    wanted, _ = materialize(pairs.select(F.explode(F.array("u", "v")).alias("lid")).distinct(), "wanted")
+    near = _sieve(lines, "lid", wanted).groupBy("lid").agg(F.first("line").alias("line")).join(wanted, "lid")
     texts, _ = materialize(near, "candidates")
     maps, _ = materialize(sketches(texts), "sketches")
-    us = maps.select(F.col("lid").alias("u"), F.col("places").alias("un"), F.col("map").alias("um"))
-    vs = maps.select(F.col("lid").alias("v"), F.col("places").alias("vn"), F.col("map").alias("vm"))
 
-    to_pivot = members.where("lid <> pivot").select(F.greatest("lid", "pivot").alias("u"), F.least("lid", "pivot").alias("v")).distinct()
-    alike = to_pivot.join(us, "u").join(vs, "v").where(_may_link()).select("u", "v")
-    first, _ = materialize(_linked(_measured(alike, texts)), "links")
+    def may_link(some: DataFrame) -> DataFrame:
+        return some.join(_as(maps, "u"), "u").join(_as(maps, "v"), "v").where(_may_link()).select("u", "v")
+
+    likely, _ = materialize(may_link(pairs), "likely")
+    first, _ = materialize(_linked(likely, texts), "links")
     named = components(first)
 
-    labelled = members.join(named, members["lid"] == named["node"], "left").select("key", "lid", "pivot", F.coalesce("component", "lid").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    rest, _ = materialize(labelled.join(mixed, "key", "left_semi").where("lid <> pivot").join(maps, "lid"), "mixed")
-    a = rest.select("key", F.col("lid").alias("u"), F.col("label").alias("cu"), F.col("places").alias("un"), F.col("map").alias("um"))
-    b = rest.select("key", F.col("lid").alias("v"), F.col("label").alias("cv"), F.col("places").alias("vn"), F.col("map").alias("vm"))
-    across = a.join(b, (a["key"] == b["key"]) & (F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & _may_link()).select("u", "v").distinct()
-    second, _ = materialize(_linked(_measured(across, texts)), "links")
+    labelled = pivoted.join(named, pivoted["lid"] == named["node"], "left").select("key", "lid", "pivot", F.coalesce("component", "lid").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "n")
+    rest, _ = materialize(labelled.where("lid <> pivot").join(mixed, "key").select("key", "n", "lid", "label"), "mixed")
+    small = rest.where(F.col("n") <= SMALL)
+    a = small.select("key", F.col("lid").alias("u"), F.col("label").alias("cu"))
+    b = small.select("key", F.col("lid").alias("v"), F.col("label").alias("cv"))
+    within = a.join(b, (a["key"] == b["key"]) & (F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv"))).select("u", "v")
+    large = rest.where(F.col("n") > SMALL).select("lid", "label").distinct()
+    across, _ = materialize(within.union(_rare_pairs(large, texts)).distinct(), "across")
+    likely, _ = materialize(may_link(across), "likely")
+    second, _ = materialize(_linked(likely, texts), "links")
     return components(first.union(second))
 
 
-def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """lid, keep (id, n): for lines that occur twice or have near copies, the one occurrence that stays."""
-    lines = lines_of(docs, id_col, text_col)
-    named = line_components(lines)
-    counts = lines.groupBy(_lid().alias("lid")).agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct("id", "n")).alias("first"), F.min(_check()).alias("check"), F.max(_check()).alias("other"))
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, th, gone (numbers of the lines to remove, ascending) of the documents that lose any."""
+    lines = lines_of(docs, id_col, text_col).select("id", "th", "n", "line", F.xxhash64("line").alias("lid"))
+    named = line_components(lines.select("lid", "line"))
+    # every occurrence, once: what follows reads this and not the texts
+    places, _ = materialize(lines.select("id", "th", "n", "lid", F.xxhash64(F.lit(1), F.col("line")).alias("check")), "places")
+    counts = places.groupBy("lid").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct("id", "n")).alias("first"), F.min("check").alias("check"), F.max("check").alias("other"))
     met = counts.where("check = other").join(named, F.col("lid") == F.col("node"), "left").where("component is not null or cnt > 1")
     placed, _ = materialize(met.select("lid", "first", F.coalesce("component", "lid").alias("component")), "lines")
     best = placed.groupBy("component").agg(F.min("first").alias("keep"))
-    return placed.join(best, "component").select("lid", "keep")
-
-
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, th, gone (numbers of the lines to remove, ascending) of the documents that lose any."""
-    occurrences = lines_of(docs, id_col, text_col).select("id", "th", "n", _lid().alias("lid"))
-    met = occurrences.join(keepers(docs, id_col, text_col), "lid")
-    out = met.where(~(F.struct("id", "n").eqNullSafe(F.col("keep")))).groupBy("id", "th").agg(F.sort_array(F.collect_set("n")).alias("gone"))
-    return materialize(out, "gone")[0]
+    keepers = placed.join(best, "component").select("lid", "keep")
+    gone = places.join(keepers, "lid").where(~(F.struct("id", "n").eqNullSafe(F.col("keep"))))
+    return materialize(gone.groupBy("id", "th").agg(F.sort_array(F.collect_set("n")).alias("gone")), "gone")[0]
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_lines, n_removed, removed (line numbers from 0, comma-joined) of each document."""
     gone = removed_lines(docs, id_col, text_col).select(F.col("id").alias("gid"), F.col("th").alias("gth"), "gone")
-    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    text = F.col(quoted(text_col))
+    own = docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(text).alias("th"), F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long").alias("n_lines"))
     met = own.join(gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth")), "left")
     numbers = F.coalesce("gone", F.array().cast("array<int>"))
     return met.select(F.col("id").alias(id_col), F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.size(numbers).cast("long").alias("n_removed"), F.array_join(numbers.cast("array<string>"), ",").alias("removed"))
@@ -200,7 +248,8 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the removed lines; all other columns as they are."""
     gone = removed_lines(docs, id_col, text_col).select(F.col("id").alias("__strophe_id"), F.col("th").alias("__strophe_th"), F.col("gone").alias("__strophe_gone"))
-    met = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__strophe_id")) & (F.xxhash64(F.col(text_col)) == F.col("__strophe_th")), "left")
-    rebuilt = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, n: ~F.array_contains(F.col("__strophe_gone"), n)), "\n")
-    text = F.when(F.col("__strophe_gone").isNull(), F.col(text_col)).otherwise(rebuilt)
-    return met.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    id_, own = F.col(quoted(id_col)), F.col(quoted(text_col))
+    met = docs.join(gone, id_.eqNullSafe(F.col("__strophe_id")) & (F.xxhash64(own) == F.col("__strophe_th")), "left")
+    rebuilt = F.array_join(F.filter(F.split(own, "\n"), lambda line, n: ~F.array_contains(F.col("__strophe_gone"), n)), "\n")
+    text = F.when(F.col("__strophe_gone").isNull(), own).otherwise(rebuilt)
+    return met.select(*[text.alias(c) if c == text_col else F.col(quoted(c)) for c in docs.columns])
