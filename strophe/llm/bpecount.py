@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
 from .tokens import MEMO_LENGTH, MEMO_PIECES, _LETTER_SIGN, apart, distinct_pieces, groups
 
 _NONE = np.iinfo(np.int32).max
@@ -149,14 +150,9 @@ class Counter:
             yield counts
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def counter(path: str) -> Counter:
     """One counter a worker process and file."""
-    if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(path)
-    return _COUNTERS[path]
+    return held(("counter", path), lambda: Counter(path))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

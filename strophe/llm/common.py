@@ -9,7 +9,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,9 +82,27 @@ def plan_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+_HELD: list = [None, None]
+
+
+def held(key: object, make: Callable[[], object]):
+    """What a worker process keeps from task to task: the last thing asked for, made once. An executor's
+    workers go from one operator to the next, and what an earlier one needed is let go."""
+    if _HELD[0] != key:
+        _HELD[:] = [None, None]
+        pa.default_memory_pool().release_unused()
+        _HELD[:] = [key, make()]
+    return _HELD[1]
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def by_place(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Does work on docs with its columns named by their places, whatever signs or repeats the names hold."""
+    return work(docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])).toDF(*docs.columns)

@@ -27,13 +27,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_place, quoted
 from .tokens import groups
 
 WORDS = 10
-#: Bound of a broadcast block of the test set; three word numbers fit one key of 63 bits.
+#: Bound of a broadcast block of the test set, but for one longer item.
 TEST_WORDS = 1_000_000
-_BITS = 21
-_PREFIX = 3
 
 #: Bytes that part words become spaces, A-Z become a-z; digits, letters and bytes of other scripts stay.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 48 or 58 <= b <= 96 or 123 <= b <= 127 else b for b in range(256))
@@ -43,14 +42,14 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def _columns(ids: np.ndarray, at: np.ndarray, lengths: np.ndarray | int, width: int, fill: int = 0) -> list[np.ndarray]:
-    """Keys of three words each of the runs of width words at the places; beyond lengths, fill."""
-    out = []
-    for first in range(0, width, 3):
+def _columns(ids: np.ndarray, at: np.ndarray, lengths: np.ndarray | int, width: int, bits: int, fill: int = 0) -> list[np.ndarray]:
+    """Keys of as many word numbers as fit 63 bits, of the runs of width words at the places; beyond lengths, fill."""
+    out, each = [], 63 // bits
+    for first in range(0, width, each):
         key = np.zeros(len(at), np.int64)
-        for k in range(first, first + 3):
+        for k in range(first, first + each):
             word = np.where(k < lengths, ids[np.minimum(at + k, len(ids) - 1)], fill) if k < width else fill
-            key = key << _BITS | word
+            key = key << bits | word
         out.append(key)
     return out
 
@@ -63,19 +62,24 @@ class TestBlock:
     def __init__(self, items: list[tuple[str | None, list[bytes]]], words: int):
         vocab = {w: i for i, w in enumerate(sorted({w for _, ws in items for w in ws}), 1)}
         self.vocab, self.words = vocab, words
+        # three words a key, or two where one item has very many different ones; all ones are no word
+        self.bits = 21 if len(vocab) < (1 << 21) - 1 else 31
+        prefix = 63 // self.bits
         self.names = [name for name, _ in items]
         self.ids = np.array([0, *(x for _, ws in items for x in [*(vocab[w] for w in ws), 0])], np.int64)
-        at, size, item, begin = [], [], [], 1
+        at, size, item, begin, begins = [], [], [], 1, []
         for i, (_, ws) in enumerate(items):
+            begins.append(begin)
             n = min(words, len(ws))
             for k in range(len(ws) - n + 1 if n else 0):
                 at.append(begin + k)
                 size.append(n)
                 item.append(i)
             begin += len(ws) + 1
+        self.begins = np.array(begins, np.int64)
         self.at, self.size, self.item = (np.array(x, np.int64) for x in (at, size, item))
-        low = _columns(self.ids, self.at, self.size, words)
-        high = _columns(self.ids, self.at, self.size, words, (1 << _BITS) - 1)
+        low = _columns(self.ids, self.at, self.size, words, self.bits)
+        high = _columns(self.ids, self.at, self.size, words, self.bits, (1 << self.bits) - 1)
         # equal windows are searched once: window[w] is the number of window w's text
         rows = np.stack([*low, *high], 1) if len(at) else np.zeros((0, 2 * len(low)), np.int64)
         distinct, first, self.window = np.unique(rows, axis=0, return_index=True, return_inverse=True)
@@ -83,11 +87,15 @@ class TestBlock:
         self.low = list(distinct.T[: len(low)])
         self.high = list(distinct.T[len(low) :])
         self.length = self.size[first]
-        self.starters = {k: np.unique(_columns(self.ids, self.at[m], k, 3)[0]) for k in range(1, _PREFIX + 1) if (m := np.minimum(self.size, _PREFIX) == k).any()}
+        self.starters = {k: np.unique(_columns(self.ids, self.at[m], k, prefix, self.bits)[0]) for k in range(1, prefix + 1) if (m := np.minimum(self.size, prefix) == k).any()}
         order = np.argsort(self.window, kind="stable")
         self.by_window = order
         self.window_ends = np.searchsorted(self.window[order], np.arange(len(first) + 1))
 
+    def item_at(self, places: np.ndarray) -> np.ndarray:
+        """The item that each place in the block's words lies in."""
+        return np.searchsorted(self.begins, places, "right") - 1
+
     def number(self, words: list[bytes]) -> list[int]:
         get = self.vocab.get
         return [get(w, 0) for w in words]
@@ -101,11 +109,11 @@ class Shard:
         some = np.zeros(len(ids), bool)
         known = np.flatnonzero(ids)
         for k, starts in block.starters.items():
-            key = _columns(ids, known, k, 3)[0]
+            key = _columns(ids, known, k, 63 // block.bits, block.bits)[0]
             place = np.minimum(np.searchsorted(starts, key), len(starts) - 1)
             some[known[starts[place] == key]] = True
         at = np.flatnonzero(some)
-        columns = _columns(ids, at, block.words, block.words)
+        columns = _columns(ids, at, block.words, block.words, block.bits)
         order = np.lexsort(columns[::-1])
         self.suffixes, self.columns = at[order], [c[order] for c in columns]
 
@@ -147,8 +155,30 @@ def _laid_out(docs: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(flat, np.int64), np.array([*begins, len(flat)], np.int64)
 
 
+def longest(ids: np.ndarray, block: TestBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The longest matches of the test set in a shard: place there, place in the block's words, words that agree.
+
+    Every place of a test window is a test suffix; equal windows are searched once and stand for all of
+    theirs. Matches that a word before them would prolong are left to the suffix that begins there, and
+    the others are extended as far as both sides agree. So their words are those inside any window.
+    """
+    places, window = Shard(ids, block).search(block)
+    n = np.diff(block.window_ends)[window]
+    rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(block.window_ends[window], n)
+    places, owner = np.repeat(places, n), block.by_window[rank]
+    tests = block.at[owner]
+    fresh = (ids[places - 1] != block.ids[tests - 1]) | (ids[places - 1] == 0)
+    places, tests = places[fresh], tests[fresh]
+    length = np.zeros(len(places), np.int64)
+    going = np.arange(len(places))
+    while len(going):
+        going = going[(ids[places[going] + length[going]] == block.ids[tests[going] + length[going]]) & (ids[places[going] + length[going]] != 0)]
+        length[going] += 1
+    return places, tests, length
+
+
 def examine(texts: pa.Array, blocks: list[Broadcast]) -> Iterator[tuple[int, int, set[str]]]:
-    """Words, words hit and names of the items found, of each text."""
+    """Words, words hit and names of the items found, of each text: what the longest matches cover."""
     for group in groups(texts):
         words = [words_of(t.as_py()) for t in group]
         hit: np.ndarray | None = None
@@ -157,16 +187,16 @@ def examine(texts: pa.Array, blocks: list[Broadcast]) -> Iterator[tuple[int, int
         for b in blocks:
             block: TestBlock = b.value
             ids, begins = _laid_out([block.number(w) for w in words])
-            places, window = Shard(ids, block).search(block)
+            places, tests, length = longest(ids, block)
             edge = np.zeros(len(ids) + 1, np.int64)
             np.add.at(edge, places, 1)
-            np.add.at(edge, places + block.length[window], -1)
+            np.add.at(edge, places + length, -1)
             inside = np.cumsum(edge[:-1]) > 0
             hit = inside if hit is None else hit | inside
             doc = np.searchsorted(begins, places, "right") - 1
-            for d, w in np.unique(np.stack([doc, window], 1), axis=0).tolist() if len(doc) else []:
-                owners = block.item[block.by_window[block.window_ends[w] : block.window_ends[w + 1]]]
-                found[d] |= {block.names[i] for i in set(owners.tolist()) if block.names[i] is not None}
+            for d, i in np.unique(np.stack([doc, block.item_at(tests)], 1), axis=0).tolist() if len(doc) else []:
+                if block.names[i] is not None:
+                    found[d].add(block.names[i])
         upto = np.zeros(1, np.int64) if hit is None else np.concatenate([[0], np.cumsum(hit)])
         for i, w in enumerate(words):
             yield len(w), 0 if hit is None else int(upto[begins[i] + len(w)] - upto[begins[i]]), found[i]
@@ -178,7 +208,7 @@ def test_blocks(benchmark: DataFrame, words: int = WORDS, id_col: str = "item_id
     out: list[Broadcast] = []
     items: list[tuple[str | None, list[bytes]]] = []
     held = 0
-    for name, text in benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).toLocalIterator():
+    for name, text in benchmark.select(F.col(quoted(id_col)).cast("string"), F.col(quoted(text_col))).toLocalIterator():
         own = words_of(text)
         if items and held + len(own) > TEST_WORDS:
             out.append(sc.broadcast(TestBlock(items, words)))
@@ -202,7 +232,7 @@ def detect(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, id_col: st
             columns = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([sorted(g[2]) for g in got], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["id", "n_words", "n_hit", "items"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, n_words long, n_hit long, items array<string>")
+    out = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, n_words long, n_hit long, items array<string>")
     return out.select(F.col("id").alias(id_col), "n_words", "n_hit", "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
@@ -215,20 +245,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, text_col: s
         for b in batches:
             yield b.filter(pa.array([n == 0 for _, n, _ in examine(b.column(at), blocks)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
-
-
-def longest(ids: np.ndarray, block: TestBlock, places: np.ndarray, tests: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of matches at (places, tests), those that nothing precedes: both places and the words that agree."""
-    fresh = (ids[places - 1] != block.ids[tests - 1]) | (ids[places - 1] == 0)
-    places, tests = places[fresh], tests[fresh]
-    length = np.zeros(len(places), np.int64)
-    going = np.arange(len(places))
-    while len(going):
-        a, b = places[going] + length[going], tests[going] + length[going]
-        going = going[(ids[a] == block.ids[b]) & (ids[a] != 0)]
-        length[going] += 1
-    return places, tests, length
+    return by_place(docs, lambda rows: rows.mapInArrow(run, rows.schema))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,17 +261,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, id_col: s
                 for shared in blocks:
                     block: TestBlock = shared.value
                     ids, begins = _laid_out([block.number(w) for w in text_words])
-                    places, window = Shard(ids, block).search(block)
-                    n = np.diff(block.window_ends)[window]
-                    rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(block.window_ends[window], n)
-                    own = block.by_window[rank]
-                    at, test, length = longest(ids, block, np.repeat(places, n), block.at[own])
+                    at, test, length = longest(ids, block)
                     doc = np.searchsorted(begins, at, "right") - 1
-                    item = block.item[np.searchsorted(block.at, test)] if len(test) else test
-                    first = np.searchsorted(block.item, item)
-                    columns = [b.column(0).take(pa.array(doc + seen)), pa.array([block.names[i] for i in item.tolist()], pa.string()), *(pa.array(x, pa.int64()) for x in (at - begins[doc], test - block.at[first] if len(test) else test, length))]
+                    item = block.item_at(test)
+                    columns = [b.column(0).take(pa.array(doc + seen)), pa.array([block.names[i] for i in item.tolist()], pa.string()), *(pa.array(x, pa.int64()) for x in (at - begins[doc], test - block.begins[item] if len(test) else test, length))]
                     yield pa.RecordBatch.from_arrays(columns, ["id", "item_id", "word_at", "item_at", "n_words"])
                 seen += len(group)
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, item_id string, word_at long, item_at long, n_words long")
+    out = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, item_id string, word_at long, item_at long, n_words long")
     return out.withColumnRenamed("id", id_col)

@@ -28,6 +28,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_place, held, quoted
+
 SAMPLE = 300
 PASSAGE = 1000
 DICTIONARY = 64 << 10
@@ -53,7 +55,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """The dictionary of each language of the labelled rows."""
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id is not null and text is not null and lang is not null")
+    rows = labelled.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"), F.col(quoted(lang_col)).alias("lang")).where("id is not null and text is not null and lang is not null")
     counts = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
@@ -64,7 +66,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     h = F.xxhash64("id", "text")
     drawn = rows.withColumn("h", h).join(shares, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
     room = F.greatest(F.length("text") - PASSAGE + 1, F.lit(1))
-    passages = drawn.select("lang", "h", F.substring("text", F.pmod("h", room).cast("int") + 1, F.lit(PASSAGE)).alias("passage")).collect()  # about SAMPLE rows a language
+    # equal rows hash alike and count once, so the rows that reach the driver are about SAMPLE a language
+    passages = drawn.dropDuplicates(["lang", "h"]).select("lang", "h", F.substring("text", F.pmod("h", room).cast("int") + 1, F.lit(PASSAGE)).alias("passage")).collect()
     made: dict[str, bytes] = {}
     for lang, _, passage in sorted(passages, key=lambda r: (r[0], r[1], r[2])):
         held = made.get(lang, b"")
@@ -111,14 +114,9 @@ class Classifier:
         return self.names[best], score, bool(margin >= min_margin and margin > 0)
 
 
-_LAST: list = [None, None]
-
-
 def _classifier(shared) -> Classifier:
     """The broadcast dictionaries' classifier, made once a worker process."""
-    if _LAST[0] != shared.value:
-        _LAST[:] = [shared.value, Classifier(shared.value)]
-    return _LAST[1]
+    return held(("classifier", shared.value), lambda: Classifier(shared.value))
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,7 +131,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float =
             columns = [pa.array([g[i] for g in got], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["id", "lang_pred", "score", "accepted"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, lang_pred string, score double, accepted boolean")
+    out = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, lang_pred string, score double, accepted boolean")
     return out.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "lang_pred", "score", "accepted")
 
 
@@ -147,4 +145,4 @@ def accepted(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
         for b in batches:
             yield b.filter(pa.array([own.predict(t.as_py(), min_margin)[2] for t in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return by_place(docs, lambda rows: rows.mapInArrow(run, rows.schema))

@@ -27,8 +27,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-GROUP_BYTES = 8 << 20
-MEMO_PIECES = 1_000_000
+from .common import held
+
+GROUP_BYTES = 2 << 20
+MEMO_PIECES = 250_000
 #: Longer pieces are encoded each time and not remembered.
 MEMO_LENGTH = 64
 
@@ -156,11 +158,6 @@ class Encoder:
             yield self._group(group)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One encoder a worker process and file; its tables last from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(("encoder", path), lambda: Encoder(path))

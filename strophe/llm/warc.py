@@ -5,7 +5,8 @@ the SHA-256 digest of those bytes, and ``records``, the exact header block of ev
 of its payload. The payloads of one digest are combined before the shuffle, and their lengths and SHA-1
 digests must agree, or the write fails. ``reconstruct`` joins the two into whole records, byte by byte,
 and ``export_warc`` writes those as .warc files with Spark's text sink. ``read_archive`` hashes the stored
-bytes again, fails on a payload that does not match its name, and reads the record headers back.
+bytes again, fails on a payload that does not match its name, reconstructs every record and reads its
+results from the records' own bytes.
 
 Of equal payloads of at least ``min_bytes`` bytes the record with the smallest page_id is a response and
 the others are revisits of it; smaller ones are responses all. Null html is an empty payload, a null url
@@ -57,11 +58,21 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     keyed.select("page_id", "digest", _header(kind).alias("header")).write.parquet(f"{path}/records")
 
 
+def _joined(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, record (its whole bytes), digest, payload and its facts, of every record; payloads are
+    hashed where they are stored, once each."""
+    stored = spark.read.parquet(f"{path}/payloads").select("digest", "payload")
+    checked = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("digest"))))
+    payloads = stored.select("digest", checked.alias("payload")).select("digest", "payload", F.length("payload").cast("long").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("found"))
+    records = spark.read.parquet(f"{path}/records")
+    body = F.when(_type() == "response", F.col("payload")).otherwise(F.lit(b""))
+    whole = F.concat(F.col("header").cast("binary"), body, F.lit(b"\r\n\r\n"))
+    return records.join(payloads, "digest").select("page_id", whole.alias("record"), "payload_bytes", "found")
+
+
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     """page_id, record: the whole bytes of every record, header, payload and the two line ends after it."""
-    records, payloads = spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/payloads").select("digest", "payload")
-    body = F.when(_type() == "response", F.col("payload")).otherwise(F.lit(b""))
-    return records.join(payloads, "digest").select("page_id", F.concat(F.col("header").cast("binary"), body, F.lit(b"\r\n\r\n")).alias("record"))
+    return _joined(spark, path).select("page_id", "record")
 
 
 def export_warc(spark: SparkSession, path: str, to: str, compression: str = "none") -> None:
@@ -79,17 +90,28 @@ def _type() -> Column:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of each record, payloads verified."""
-    stored = spark.read.parquet(f"{path}/payloads").select("digest", "payload")
-    checked = F.when(F.sha2("payload", 256) == F.col("digest"), F.length("payload").cast("long")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("digest"))))
-    payloads = stored.select("digest", checked.alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("found"))
-    records = spark.read.parquet(f"{path}/records")
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, read from the reconstructed records.
+
+    A record's header ends at its first empty line; Content-Length bytes and two line ends must follow it,
+    the body of a response must have the header's digest, and the payload that a revisit stands for too.
+    """
+    text = F.col("record").cast("string")
+    split = _joined(spark, path).withColumn("header", F.left(text, F.locate("\r\n\r\n", text) + 3))
     number = "<urn:page:(\\d+|-\\d+|[^>]*)>"
-    parsed = records.select(_field("WARC-Record-ID", number).alias("id"), "digest", _type().alias("record_type"), _field("WARC-Payload-Digest", "sha1:([A-Z2-7]*)").alias("written"), F.nullif(_field("WARC-Refers-To", number), F.lit("")).alias("to"), "page_id")
-    whole = parsed.join(payloads, "digest")
-    digest = F.when(F.col("written") == F.col("found"), F.col("found")).otherwise(F.raise_error(F.concat(F.lit("digests differ in record "), F.col("id"))))
-    kind = records.schema["page_id"].dataType
-    return whole.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", F.col("to").cast(kind).alias("refers_to"))
+    size = _field("Content-Length", "(\\d+)").cast("long")
+    parsed = split.select(
+        "page_id", "record", "payload_bytes", "found", F.octet_length("header").alias("at"), size.alias("size"), _type().alias("record_type"), _field("WARC-Record-ID", number).alias("id"),
+        _field("WARC-Payload-Digest", "sha1:([A-Z2-7]*)").alias("written"), F.nullif(_field("WARC-Refers-To", number), F.lit("")).alias("to"),
+    )
+    body = F.substring(F.col("record"), F.col("at") + 1, F.col("size").cast("int"))
+    framed = F.octet_length("record") == F.col("at") + F.col("size") + 4
+    own = F.when(F.col("record_type") == "response", base32_of_hex(F.sha1(body)) == F.col("written")).otherwise(F.col("size") == 0)
+    named = F.col("id") == F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
+    sound = framed & own & named & (F.col("written") == F.col("found"))
+    digest = F.when(sound, F.col("written")).otherwise(F.raise_error(F.concat(F.lit("damaged record "), F.col("id"))))
+    length = F.when(F.col("record_type") == "response", F.col("size")).otherwise(F.col("payload_bytes"))
+    kind = split.schema["page_id"].dataType
+    return parsed.select("page_id", length.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", F.col("to").cast(kind).alias("refers_to"))
 
 
 def archive(pages: DataFrame, path: str | None = None, min_bytes: int = 0) -> DataFrame:

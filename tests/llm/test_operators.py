@@ -129,6 +129,21 @@ def contamination(text, items, size=10):
 ITEMS = [("7", "quick brown fox jumps over the lazy dog near the river bank"), ("12", "ONE"), ("9", None), ("8", "..."), ("7", "hazy dog near the"), (None, "short"), ("x", "word " * 12)]
 
 
+def longest_truth(doc_id, text, items, size=10):
+    """Every match of size words (of a whole shorter item) that can't be prolonged to the left, at its full length."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    own = words(text)
+    for name, item in items:
+        w = words(item)
+        for i in range(len(own)):
+            for j in range(len(w)):
+                n = 0
+                while i + n < len(own) and j + n < len(w) and own[i + n] == w[j + n]:
+                    n += 1
+                if n and n >= min(size, len(w)) and not (i and j and own[i - 1] == w[j - 1]):
+                    yield doc_id, name, i, j, n
+
+
 def test_decontamination(spark, docs, none, monkeypatch):
     bench = spark.createDataFrame(ITEMS, "item_id string, text string")
     want = sorted(((r.doc_id, *contamination(r.text, ITEMS)) for r in docs.collect()), key=str)
@@ -138,7 +153,8 @@ def test_decontamination(spark, docs, none, monkeypatch):
         assert got == want
     kept = decontam.clean(docs, bench)
     assert kept.columns == docs.columns and kept.count() == sum(1 for w in want if w[2] == 0)
-    found = {(r.doc_id, r.item_id, r.word_at, r.item_at, r.n_words) for r in decontam.matches(docs, bench).collect()}
+    found = sorted((tuple(r) for r in decontam.matches(docs, bench).collect()), key=str)
+    assert found == sorted((m for r in docs.collect() for m in longest_truth(r.doc_id, r.text, ITEMS)), key=str)
     assert (5, "7", 1, 0, 12) in found and (6, "7", 1, 0, 12) in found
     assert decontam.detect(none, bench).count() == 0
     assert decontam.detect(docs, bench.where("false")).where("contaminated").count() == 0
@@ -172,6 +188,21 @@ def test_archive_round_trip(spark, tmp_path):
     small = {r.page_id: r.record_type for r in warc.archive(pages, min_bytes=1).collect()}
     assert small[9] == "response" and small[4] == "revisit"
     assert warc.archive(pages.where("false")).count() == 0
+    odd = spark.createDataFrame([(None, "u", "same"), (3, "u", "same"), (3, "v", "same"), (None, "w", None)], "page_id long, url string, html string")
+    got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.archive(odd).collect()), key=str)
+    assert got == sorted([(None, "revisit", 3, 4), (3, "response", None, 4), (3, "response", None, 4), (None, "response", None, 0)], key=str)
+
+
+def test_damaged_archives_are_refused(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "abc"), (2, "u", "abcd")], "page_id long, url string, html string")
+    for k, (table, change) in enumerate([("payloads", {"payload": F.lit(b"abd")}), ("records", {"header": F.regexp_replace("header", "Content-Length: 3", "Content-Length: 4")}), ("records", {"page_id": F.col("page_id") + 1})]):
+        path = f"file://{tmp_path}/{k}"
+        warc.write_archive(pages, path)
+        rows = spark.read.parquet(f"{path}/{table}").withColumns(change).collect()
+        schema = spark.read.parquet(f"{path}/{table}").schema
+        spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{path}/{table}")
+        with pytest.raises(Exception, match="damaged"):
+            warc.read_archive(spark, path).collect()
 
 
 def quality(text):
