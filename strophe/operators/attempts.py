@@ -13,8 +13,10 @@ PRIOR, PRIOR_SEMITONES, REACH = 0.25, 12, 14
 DURATION, DURATION_PAIRS = 0.02, 64
 REFERENCE_NOTES, REFERENCE_CENTS = 2, 60.0
 EPSILON = 1e-9
+#: Cells of the tables that are filled at once.
+TABLE_CELLS = 1 << 20
 
-SLOTS = "attempt_id long, slot int, attempt_idx int, heard double, residual_cents double, verdict string, after_slot int, transposition int, offset_cents double, cost double"
+SLOTS = "attempt_id long, slot int, attempt_idx int, heard double, residual_cents double, verdict string, after_slot int, transposition int, offset_cents double, cost double, searched_cost double"
 
 
 def substitution(apart):
@@ -22,10 +24,6 @@ def substitution(apart):
     return MOST_SUBSTITUTION * np.clip((np.abs(apart) - CLEAN / 100) / (SATURATION - CLEAN / 100), 0, 1)
 
 
-def prior(transposition: int) -> float:
-    return PRIOR * min(abs(transposition), PRIOR_SEMITONES) / PRIOR_SEMITONES
-
-
 def verdict(cents: float) -> str:
     size = abs(cents)
     return "clean" if size < CLEAN else "off" if size < OFF else "wrong"
@@ -55,20 +53,23 @@ def _durations(sung: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 def _table(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least costs of every prefix pair, and the moves: 0 pair, 1 skip of the attempt, 2 skip of the target."""
-    n, m = pairs.shape
-    cost, move = np.zeros((n + 1, m + 1)), np.zeros((n + 1, m + 1), dtype=np.int8)
-    cost[0] = np.arange(m + 1) * (GAP + (EARLY_GAP if n else 0.0))
-    cost[:, 0] = np.arange(n + 1) * GAP
-    move[0], move[:, 0] = 2, 1
+    """Least costs of every prefix pair, and the moves: 0 pair, 1 skip of the attempt, 2 skip of the target.
+
+    The last two axes are attempt and target; all before them are filled side by side.
+    """
+    *lead, n, m = pairs.shape
+    cost, move = np.zeros((*lead, n + 1, m + 1)), np.zeros((*lead, n + 1, m + 1), dtype=np.int8)
+    cost[..., 0, :] = np.arange(m + 1) * (GAP + (EARLY_GAP if n else 0.0))
+    cost[..., :, 0] = np.arange(n + 1) * GAP
+    move[..., 0, :], move[..., :, 0] = 2, 1
     for i in range(1, n + 1):
         skip = GAP + (EARLY_GAP if i < n else 0.0)
         for j in range(1, m + 1):
-            best, way = cost[i - 1, j - 1] + pairs[i - 1, j - 1], 0
-            for other, value in ((1, cost[i - 1, j] + GAP), (2, cost[i, j - 1] + skip)):
-                if value < best - EPSILON:
-                    best, way = value, other
-            cost[i, j], move[i, j] = best, way
+            best, way = cost[..., i - 1, j - 1] + pairs[..., i - 1, j - 1], np.int8(0)
+            for other, value in ((1, cost[..., i - 1, j] + GAP), (2, cost[..., i, j - 1] + skip)):
+                better = value < best - EPSILON
+                best, way = np.where(better, value, best), np.where(better, np.int8(other), way)
+            cost[..., i, j], move[..., i, j] = best, way
     return cost, move
 
 
@@ -83,42 +84,63 @@ def _matches(move: np.ndarray) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def candidates(attempt: np.ndarray, target: np.ndarray) -> list[int]:
-    """Transpositions from the medians' difference outwards, and none at all."""
-    centre = int(np.floor(np.median(target) - np.median(attempt) + 0.5)) if len(attempt) and len(target) else 0
-    around = [centre + sign * k for k in range(REACH + 1) for sign in ((-1, 1) if k else (1,))]
-    return around if 0 in around else [*around, 0]
+def candidates(attempts: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Transpositions of each row from the medians' difference outwards, and none at all last."""
+    around = np.array([0, *(sign * k for k in range(1, REACH + 1) for sign in (-1, 1))])
+    centre = np.zeros(len(attempts), int)
+    if attempts.shape[1] and targets.shape[1]:
+        centre = np.floor(np.median(targets, axis=1) - np.median(attempts, axis=1) + 0.5).astype(int)
+    return np.concatenate([centre[:, None] + around, np.zeros((len(attempts), 1), int)], axis=1)
+
+
+def align_alike(attempts: np.ndarray, targets: np.ndarray, lengths: np.ndarray) -> list[dict]:
+    """The alignments of rows of n notes with targets of m; lengths are the pairs' costs of duration.
+
+    All transpositions of all rows are filled side by side; of equal costs the first in order stays.
+    """
+    shifts = candidates(attempts, targets)
+    apart = attempts[:, :, None] - targets[:, None, :]
+    weight = PRIOR * np.minimum(np.abs(shifts), PRIOR_SEMITONES) / PRIOR_SEMITONES
+    cost = _table(substitution(apart[:, None] + shifts[:, :, None, None]) + lengths[:, None] + weight[:, :, None, None])[0][..., -1, -1]
+    best = np.zeros(len(attempts), int)
+    every = np.arange(len(attempts))
+    for k in range(1, shifts.shape[1]):
+        best = np.where(cost[:, k] < cost[every, best] - EPSILON, k, best)
+    shift, own, searched = shifts[every, best], weight[every, best], cost[every, best]
+
+    def fill(rows: np.ndarray, offset: np.ndarray):
+        moved = apart[rows] + (shift[rows] - offset / 100)[:, None, None]
+        costs, moves = _table(substitution(moved) + lengths[rows] + own[rows][:, None, None])
+        return costs[..., -1, -1], [_matches(m) for m in moves], moved * 100
+
+    final, pairs, residual = fill(every, np.zeros(len(attempts)))
+    offsets = np.array([reference(r[i, j] for i, j in p if i >= 0 and j >= 0) for r, p in zip(residual, pairs)])
+    again = np.flatnonzero(offsets)
+    if len(again):
+        final[again], corrected, residual[again] = fill(again, offsets[again])
+        for k, p in zip(again.tolist(), corrected):
+            pairs[k] = p
+    out = []
+    for k in every.tolist():
+        heard = attempts[k] + shift[k] - offsets[k] / 100
+        slots = [{"slot": j, "attempt": None, "residual": None, "heard": None, "verdict": "missing"} for j in range(targets.shape[1])]
+        extras, after = [], -1
+        for i, j in pairs[k]:
+            after = j if j >= 0 else after
+            if i >= 0 and j >= 0:
+                r = float(residual[k, i, j])
+                slots[j] |= {"attempt": i, "residual": r, "heard": float(heard[i]), "verdict": verdict(r)}
+            elif i >= 0:
+                extras.append({"attempt": i, "heard": float(heard[i]), "after": after})
+        out.append({"transposition": int(shift[k]), "offset_cents": float(offsets[k]), "cost": float(final[k]), "searched_cost": float(searched[k]), "slots": slots, "extras": extras})
+    return out
 
 
 def align(attempt, target, sung_sec=None, target_sec=None) -> dict:
     """transposition, offset_cents, cost, slots (attempt index, residual, verdict of each target note) and extras."""
     a, t = np.asarray(attempt, dtype=float), np.asarray(target, dtype=float)
     lengths = _durations(np.asarray(sung_sec if sung_sec is not None else np.zeros(len(a)), dtype=float), np.asarray(target_sec if target_sec is not None else np.zeros(len(t)), dtype=float))
-
-    def fill(shift: int, offset: float):
-        apart = a[:, None] + shift - offset / 100 - t[None, :]
-        cost, move = _table(substitution(apart) + lengths + prior(shift))
-        return float(cost[-1, -1]), _matches(move), apart * 100
-
-    best = None
-    for shift in candidates(a, t):
-        found = fill(shift, 0.0)
-        if best is None or found[0] < best[1][0] - EPSILON:
-            best = shift, found
-    shift, (cost, pairs, residual) = best
-    offset = reference(residual[i, j] for i, j in pairs if i >= 0 and j >= 0)
-    if offset:
-        cost, pairs, residual = fill(shift, offset)
-    slots = [{"slot": j, "attempt": None, "residual": None, "heard": None, "verdict": "missing"} for j in range(len(t))]
-    extras, after = [], -1
-    for i, j in pairs:
-        after = j if j >= 0 else after
-        if i >= 0 and j >= 0:
-            r = float(residual[i, j])
-            slots[j] |= {"attempt": i, "residual": r, "heard": float(a[i] + shift - offset / 100), "verdict": verdict(r)}
-        elif i >= 0:
-            extras.append({"attempt": i, "heard": float(a[i] + shift - offset / 100), "after": after})
-    return {"transposition": shift, "offset_cents": offset, "cost": cost, "slots": slots, "extras": extras}
+    return align_alike(a[None], t[None], lengths[None])[0]
 
 
 def align_attempts(attempts: DataFrame) -> DataFrame:
@@ -130,15 +152,20 @@ def align_attempts(attempts: DataFrame) -> DataFrame:
     def run(batches):
         names = [c.split()[0] for c in SLOTS.split(", ")]
         for batch in batches:
-            rows = []
+            rows, alike = [], {}
             for r in batch.itertuples(index=False):
-                arrays = [[] if x is None else x for x in (r.sung, r.target, r.sung_sec, r.target_sec)]
-                arrays[2] = arrays[2] if len(arrays[2]) == len(arrays[0]) else None
-                arrays[3] = arrays[3] if len(arrays[3]) == len(arrays[1]) else None
-                found = align(*arrays)
-                common = found["transposition"], found["offset_cents"], found["cost"]
-                rows += [(r.attempt_id, s["slot"], s["attempt"], s["heard"], s["residual"], s["verdict"], None, *common) for s in found["slots"]]
-                rows += [(r.attempt_id, None, e["attempt"], e["heard"], None, "extra", e["after"], *common) for e in found["extras"]]
+                sung, target, sung_sec, target_sec = (np.asarray([] if x is None else x, dtype=float) for x in (r.sung, r.target, r.sung_sec, r.target_sec))
+                lengths = _durations(sung_sec if len(sung_sec) == len(sung) else np.zeros(len(sung)), target_sec if len(target_sec) == len(target) else np.zeros(len(target)))
+                alike.setdefault((len(sung), len(target)), []).append((r.attempt_id, sung, target, lengths))
+            for (n, m), group in alike.items():
+                many = max(1, TABLE_CELLS // ((2 * REACH + 2) * (n + 1) * (m + 1)))
+                for first in range(0, len(group), many):
+                    part = group[first : first + many]
+                    found = align_alike(*(np.stack([g[k] for g in part]) for k in (1, 2, 3)))
+                    for (attempt_id, *_), f in zip(part, found):
+                        common = f["transposition"], f["offset_cents"], f["cost"], f["searched_cost"]
+                        rows += [(attempt_id, s["slot"], s["attempt"], s["heard"], s["residual"], s["verdict"], None, *common) for s in f["slots"]]
+                        rows += [(attempt_id, None, e["attempt"], e["heard"], None, "extra", e["after"], *common) for e in f["extras"]]
             yield pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in ("slot", "attempt_idx", "after_slot")})
 
     return attempts.select("attempt_id", "sung", "target", "sung_sec", "target_sec").mapInPandas(run, SLOTS)
@@ -162,3 +189,17 @@ def hold_score(t_sec, midi, target: float, gap: float = 0.08, least_sec: float =
     drift = float(np.clip((last - first) * n / (n - q), -reach, reach)) if n > q else 0.0
     wobble = float(np.subtract(*np.percentile(cents, [75, 25])) / 2)
     return {"median_cents": float(np.median(cents)), "wobble_cents": wobble, "drift_cents": drift, "steady_sec": float(t[own[-1]] - t[own[0]]), "frames": n}
+
+
+HOLDS = "median_cents double, wobble_cents double, drift_cents double, steady_sec double, frames long"
+
+
+def score_holds(trails: DataFrame, by: str = "take_id") -> DataFrame:
+    """The hold score of each take of rows (by, t_sec, midi, target); takes without a held note give no row."""
+
+    def one(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("t_sec")
+        score = hold_score(f["t_sec"], f["midi"], float(f["target"].iloc[0]))
+        return pd.DataFrame([] if score is None else [{by: f[by].iloc[0]} | score], columns=[by, *(c.split()[0] for c in HOLDS.split(", "))])
+
+    return trails.select(by, "t_sec", "midi", "target").groupBy(by).applyInPandas(one, f"{by} {trails.schema[by].dataType.simpleString()}, {HOLDS}")

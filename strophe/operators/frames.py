@@ -5,8 +5,11 @@ Every function keeps one partitioning, by take, so a chain of them needs one exc
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
+
 
 def take_order() -> WindowSpec:
     """Frames of a take in order."""
@@ -18,14 +21,30 @@ def tonal(clarity: float = 0.5, snr: float = 12.0, second: float = 6.0) -> Colum
     return F.coalesce(good, F.lit(False))
 
 
-def with_gate(frames: DataFrame, floor_db: float, onset: float = 12.0, sustain: float = 6.0, absolute: float = -70.0) -> DataFrame:
-    """Adds voiced: on at floor + onset, held down to floor + sustain, off at once where candidate is false."""
-    if onset < sustain:
-        raise ValueError("the two-threshold form needs onset >= sustain")
-    high, low = max(absolute, floor_db + onset), max(absolute, floor_db + sustain)
+def with_gate(frames: DataFrame, floor_db: Column | float, onset: float = 12.0, sustain: float = 6.0, absolute: float = -70.0) -> DataFrame:
+    """Adds voiced: on at floor + onset, held down to floor + sustain, off at once where candidate is false.
+
+    The floor may differ from frame to frame; a null floor is below everything. With onset below sustain a
+    frame's state depends on the one before at every step, so takes are scanned in order instead.
+    """
+    floor = F.coalesce(floor_db if isinstance(floor_db, Column) else F.lit(float(floor_db)), F.lit(float("-inf")))
+    high, low = F.greatest(F.lit(absolute), floor + onset), F.greatest(F.lit(absolute), floor + sustain)
     level = F.col("band_rms_db")
-    turn = F.when(~F.col("candidate") | (level < low), False).when(level >= high, True)
-    return frames.withColumn("voiced", F.coalesce(F.last(turn, ignorenulls=True).over(take_order()), F.lit(False)))
+    if onset >= sustain:
+        turn = F.when(~F.col("candidate") | (level < low), False).when(level >= high, True)
+        return frames.withColumn("voiced", F.coalesce(F.last(turn, ignorenulls=True).over(take_order()), F.lit(False)))
+
+    def scan(take: pd.DataFrame) -> pd.DataFrame:
+        take = take.sort_values("frame_idx")
+        on, out = False, []
+        for candidate, above, held in zip(take["candidate"], take["__high"], take["__low"]):
+            on = bool(candidate and (held if on else above))
+            out.append(on)
+        return take.drop(columns=["__high", "__low"]).assign(voiced=out)
+
+    marked = frames.withColumns({"__high": F.coalesce(level >= high, F.lit(False)), "__low": F.coalesce(level >= low, F.lit(False))})
+    schema = StructType([*frames.schema.fields, StructField("voiced", BooleanType())])
+    return marked.groupBy("take_id").applyInPandas(scan, schema)
 
 
 def runs(frames: DataFrame, flag: str, least: int) -> DataFrame:
@@ -77,10 +96,23 @@ def ewma(order: str, x: str, alpha: float = 0.25) -> Column:
     return F.aggregate(rows, F.lit(None).cast("double"), lambda a, r: F.coalesce(a + alpha * (r["x"] - a), r["x"]))
 
 
-def within(rows: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, how: str = "left_semi") -> DataFrame:
+def spread(spans: DataFrame, start: str, end: str, width: float) -> DataFrame:
+    """Adds bucket, one row for each stretch of width that a span [start, end) touches; empty spans touch none."""
+    buckets = F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))
+    return spans.where(F.col(start) < F.col(end)).withColumn("bucket", F.explode(buckets))
+
+
+def met(rows: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, width: float = 16.0, how: str = "inner") -> DataFrame:
+    """Rows joined with the spans [start, end) of their key that hold their time: an equi-join on the key
+    and the bucket of time, so that a long take is compared bucket by bucket and a hot one can be split."""
+    own = spread(spans.withColumnsRenamed({key: "__key", start: "__start", end: "__end"}), "__start", "__end", width)
+    inside = (F.col(key) == F.col("__key")) & (F.floor(F.col(at) / width) == F.col("bucket")) & (F.col(at) >= F.col("__start")) & (F.col(at) < F.col("__end"))
+    return rows.join(own, inside, how)
+
+
+def within(rows: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, how: str = "left_semi", width: float = 16.0) -> DataFrame:
     """Rows whose time lies in (left_semi) or outside (left_anti) every span [start, end) of their key."""
-    own = spans.select(F.col(key).alias("__key"), F.col(start).alias("__start"), F.col(end).alias("__end"))
-    return rows.join(own, (F.col(key) == F.col("__key")) & (F.col(at) >= F.col("__start")) & (F.col(at) < F.col("__end")), how)
+    return met(rows, spans.select(key, start, end), key, at, start, end, width, how)
 
 
 def as_of(rows: DataFrame, changes: DataFrame, key: str, at: str, value: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +24,16 @@ def framed(blocks: DataFrame, window: int, hop: int) -> DataFrame:
 
 
 def power_spectrum(blocks: DataFrame) -> DataFrame:
-    """take_id, bin, power of each block: the squared modulus of its real transform."""
+    """take_id, bin, power of each block: the squared modulus of its real transform. Null and empty blocks have none."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bins, powers, sizes = [], [], []
-            for x in b.column(1):
-                p = np.abs(np.fft.rfft(np.array(x.as_py(), np.float64))) ** 2
-                bins.append(np.arange(len(p)))
-                powers.append(p)
-                sizes.append(len(p))
-            take = b.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-            yield pa.RecordBatch.from_arrays([take, pa.array(np.concatenate([*bins, np.zeros(0, int)]), pa.int32()), pa.array(np.concatenate([*powers, np.zeros(0)]))], ["take_id", "bin", "power"])
+            sizes = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes[sizes > 0]).tolist():  # blocks of one length are one matrix
+                at = pa.array(np.flatnonzero(sizes == size))
+                blocks_of = b.column(1).take(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+                power = np.abs(np.fft.rfft(blocks_of, axis=1)) ** 2
+                take = b.column(0).take(at).take(pa.array(np.repeat(np.arange(len(power)), power.shape[1])))
+                yield pa.RecordBatch.from_arrays([take, pa.array(np.tile(np.arange(power.shape[1]), len(power)), pa.int32()), pa.array(power.reshape(-1))], ["take_id", "bin", "power"])
 
     return blocks.select("take_id", "samples").mapInArrow(run, "take_id long, bin int, power double")

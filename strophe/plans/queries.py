@@ -86,6 +86,13 @@ def hysteresis_gate(spark, sf_dir):
 _ISLANDS = "select take_id, min(frame_idx) as start_idx, max(frame_idx) as end_idx, count(*) as n from (select *, frame_idx - row_number() over (partition by take_id order by frame_idx) as island from {0} where {1}) group by take_id, island having count(*) >= {2}"
 
 
+@query(f""", g as (select *, coalesce(last_value(turn ignore nulls) over (partition by take_id order by frame_idx rows unbounded preceding), false) as voiced
+        from (select *, case when not {_TONAL} or band_rms_db < greatest(-70, -80 - frame_idx % 9 + 6) then false when band_rms_db >= greatest(-70, -80 - frame_idx % 9 + 12) then true end as turn from frames_ev)) select take_id, frame_idx, voiced from g""", "frames_ev")
+def hysteresis_floors(spark, sf_dir):
+    own = _frames(spark, sf_dir).withColumn("candidate", F.col("tonal"))
+    return frames.with_gate(own, F.lit(-80.0) - F.col("frame_idx") % 9).select("take_id", "frame_idx", "voiced")
+
+
 @query(" " + _ISLANDS.format("frames_ev", "clarity >= 0.25 and band_rms_db > -85", 3), "frames_ev")
 def contiguous_runs(spark, sf_dir):
     return frames.runs(_frames(spark, sf_dir).withColumn("flag", F.expr("clarity >= 0.25 and band_rms_db > -85")), "flag", 3)
@@ -174,8 +181,7 @@ def frames_inside_notes(spark, sf_dir):
         from n join frames_ev f on f.take_id = n.take_id and frame_idx >= start_t and frame_idx < end_t group by all""", "frames_ev")
 def note_measures(spark, sf_dir):
     own = _frames(spark, sf_dir)
-    spans = _spans(own).withColumnRenamed("take_id", "note_take")
-    met = own.join(spans, F.expr("take_id = note_take and frame_idx >= start_t and frame_idx < end_t"))
+    met = frames.met(own, _spans(own), "take_id", "frame_idx", "start_t", "end_t").withColumn("start_t", F.col("__start"))
     confidence = P.clamp01(0.6 * F.avg("clarity") + 0.4 * P.clamp01((F.avg("snr_db") - 6) / 24))
     return met.groupBy("take_id", "start_t").agg(F.bool_or("clipped").alias("clipped"), F.avg("clarity").alias("clarity"), F.avg("snr_db").alias("snr"), F.median("band_rms_db").alias("level"), P.six(confidence).alias("confidence"))
 

@@ -55,15 +55,16 @@ def _events(data: bytes) -> Iterator[tuple[int, int, bytes]]:
             kind = b""
             if status == 0xFF:
                 kind, at = data[at : at + 1], at + 1
-            if status in (0xFF, 0xF0, 0xF7):
-                size, at = _number(data, at)
-            else:
-                size = {0xF1: 1, 0xF2: 2, 0xF3: 1}.get(status, 0)
+            if status not in (0xFF, 0xF0, 0xF7):
+                raise MidiError("DAMAGED", "a message that no file holds")
+            size, at = _number(data, at)
         else:
             running, kind = status, b""
             size = 1 if status & 0xE0 == 0xC0 else 2
         if at + size > len(data):
             raise MidiError("DAMAGED", "an event is cut off")
+        if status < 0xF0 and max(data[at : at + size]) >= 0x80:
+            raise MidiError("DAMAGED", "a status in the place of data")
         yield tick, status, kind + data[at : at + size]
         at += size
 
@@ -79,7 +80,7 @@ def read_track(data: bytes) -> tuple[str, list[tuple[int, int, int, int]], list[
                 break
             if body[:1] == b"\x03" and not name:
                 name = body[1:].decode("utf-8", "replace").strip()
-            elif body[:1] == b"\x51" and len(body) == 4:
+            elif body[:1] == b"\x51" and len(body) == 4 and any(body[1:]):
                 tempo.append((tick, int.from_bytes(body[1:], "big")))
         elif status & 0xE0 == 0x80:
             key = status & 0x0F, body[0]
@@ -88,7 +89,7 @@ def read_track(data: bytes) -> tuple[str, list[tuple[int, int, int, int]], list[
             elif open_notes[key]:
                 notes.append((open_notes[key].popleft(), tick, *key))
     notes += [(start, last, *key) for key, starts in open_notes.items() for start in starts]
-    return name, sorted(notes), tempo
+    return name, sorted(notes, key=lambda n: (n[0], n[3])), tempo
 
 
 class TempoMap:
