@@ -24,6 +24,11 @@ def substitution(apart):
     return MOST_SUBSTITUTION * np.clip((np.abs(apart) - CLEAN / 100) / (SATURATION - CLEAN / 100), 0, 1)
 
 
+def prior(transposition):
+    """Cost of each pair under a transposition: a register of its own is free, far ones are less likely."""
+    return PRIOR * np.minimum(np.abs(transposition), PRIOR_SEMITONES) / PRIOR_SEMITONES
+
+
 def verdict(cents: float) -> str:
     size = abs(cents)
     return "clean" if size < CLEAN else "off" if size < OFF else "wrong"
@@ -100,7 +105,7 @@ def align_alike(attempts: np.ndarray, targets: np.ndarray, lengths: np.ndarray)
     """
     shifts = candidates(attempts, targets)
     apart = attempts[:, :, None] - targets[:, None, :]
-    weight = PRIOR * np.minimum(np.abs(shifts), PRIOR_SEMITONES) / PRIOR_SEMITONES
+    weight = prior(shifts)
     cost = _table(substitution(apart[:, None] + shifts[:, :, None, None]) + lengths[:, None] + weight[:, :, None, None])[0][..., -1, -1]
     best = np.zeros(len(attempts), int)
     every = np.arange(len(attempts))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pitch import half_up, note_name
 from ..functions.words import staff_step
+from ..sources.generator import uniforms
 
 # Fixed values of the reference.
 CHORD_SEC, LEAST_SEC, MOST_NOTES, DRUMS = 0.03, 0.05, 64, 9
@@ -146,3 +150,63 @@ def named_runs(frames: DataFrame, note: Column, valid: Column, least: int = 8) -
     runs = own.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(by))
     spans = runs.where("note is not null").groupBy("take_id", "run", "note").agg(F.min("frame_idx").alias("start_idx"), F.count(F.lit(1)).alias("n"))
     return spans.where(F.col("n") >= least).drop("run")
+
+
+def live_trail(points: DataFrame, most: int = 6000) -> DataFrame:
+    """The newest points of each take (take_id, frame_idx, midi); runs of silence are one break."""
+    order = Window.partitionBy("take_id").orderBy("frame_idx")
+    marked = points.withColumns({"__first": F.row_number().over(order) == 1, "__before": F.lag("midi").over(order)})
+    kept = marked.where("midi is not null or __first or __before is not null").drop("__first", "__before")
+    age = F.row_number().over(Window.partitionBy("take_id").orderBy(F.desc("frame_idx")))
+    return kept.withColumn("__age", age).where(F.col("__age") <= most).drop("__age")
+
+
+def plot_grid(points: DataFrame, columns: int = 150, rows: int = 30) -> DataFrame:
+    """take_id, row, column, mark of each take's plot of pitch (take_id, t_sec, midi, clarity, snr_db).
+
+    Bounds come from the sure points, if there are more than twenty, by truncated ranks; the surest point
+    of a cell gives its mark.
+    """
+    sure = (F.col("clarity") >= 0.5) & (F.col("snr_db") >= 12)
+    ends = points.groupBy("take_id").agg(F.max("t_sec").alias("end"), F.sort_array(F.collect_list(F.when(sure, F.col("midi")))).alias("sure"), F.sort_array(F.collect_list("midi")).alias("all"))
+    ends = ends.withColumn("x", F.when(F.size("sure") > 20, F.col("sure")).otherwise(F.col("all"))).where(F.size("x") > 0)
+    rank = lambda p: F.get(F.col("x"), F.floor(p * (F.size("x") - 1)).cast("int"))
+    bounds = ends.select("take_id", "end", (F.floor(rank(0.02)) - 2).alias("low"), (F.ceil(rank(0.98)) + 2).alias("high"))
+    place = points.where("midi is not null").join(bounds, "take_id")
+    column = F.least(F.lit(columns - 1), F.greatest(F.lit(0), half_up(F.col("t_sec") / F.col("end") * (columns - 1)))).cast("int")
+    row = half_up((F.col("high") - F.col("midi")) / (F.col("high") - F.col("low")) * (rows - 1)).cast("int")
+    level = F.when(sure, 2).when(F.col("clarity") >= 0.25, 1).otherwise(0)
+    cells = place.select("take_id", row.alias("row"), column.alias("column"), level.alias("level")).where((F.col("row") >= 0) & (F.col("row") < rows))
+    best = cells.groupBy("take_id", "row", "column").agg(F.max("level").alias("level"))
+    return best.select("take_id", "row", "column", F.element_at(F.array(F.lit("."), F.lit("+"), F.lit("#")), F.col("level") + 1).alias("mark"))
+
+
+ECHO_LOW, ECHO_HIGH, ECHO_SEC = 3, 6, 0.5
+
+
+def echo_phrase(weights: dict[int, float], draws: Iterator[float], length: int, low: int, high: int) -> list[int]:
+    """Notes of a walk in a register: a start in its middle third, then steps drawn by weight that stay inside."""
+    inner = max(1, (high - low) // 3)
+    notes = [low + (high - low - inner) // 2 + int(next(draws) * (inner + 1))]
+    for _ in range(max(ECHO_LOW, min(ECHO_HIGH, length)) - 1):
+        allowed = [(s, w) for s, w in sorted(weights.items()) if w > 0 and low <= notes[-1] + s <= high]
+        draw, run = next(draws) * sum(w for _, w in allowed), 0.0
+        picked = allowed[-1][0]
+        for s, w in allowed:
+            run += w
+            if run > draw:
+                picked = s
+                break
+        notes.append(notes[-1] + picked)
+    return notes
+
+
+def echo_phrases(weights: DataFrame, lengths: DataFrame, low: int = DRILL_LOW, high: int = DRILL_HIGH) -> DataFrame:
+    """user_id, pos, midi: a phrase of each user's length (user_id, length) from their step weights; the id is the seed."""
+
+    def one(f: pd.DataFrame) -> pd.DataFrame:
+        user = int(f["user_id"].iloc[0])
+        notes = echo_phrase(dict(zip(f["step"].tolist(), f["weight"].tolist())), uniforms(user), int(f["length"].iloc[0]), low, high)
+        return pd.DataFrame({"user_id": user, "pos": range(len(notes)), "midi": notes})
+
+    return weights.join(lengths, "user_id").groupBy("user_id").applyInPandas(one, "user_id long, pos int, midi int")

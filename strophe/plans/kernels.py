@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..config import PRESETS, preset
 from ..functions import pitch as P
-from ..operators import attempts, segment
-from ..sources.wav import decode_wav, encode_wav
+from ..operators import attempts, melody, practice, segment
+from ..sources import documents
+from ..sources.wav import decode_wav, encode_wav, mixed
+from .practice import _extras, _slots, _weights
 from .queries import QUERIES, _frames, _midi, query
 from .views import view
 
@@ -118,3 +120,82 @@ def wav_round_trip(spark, sf_dir):
 
     blocks = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("take_id"), "embedding")
     return blocks.mapInArrow(run, "take_id long, n_bytes long, total long")
+
+
+@query(""" select vec_id as take_id, cast(k as int) as place, round((0.7071 * embedding[k + 1] + 0.7071 * embedding[k + 11] + embedding[k + 21] + 0.5 * embedding[k + 41] + 0.5 * embedding[k + 51]) / 3.4142::double, 5) + 0.0 as mixed
+        from (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as embedding from embeddings), (select unnest(range(10)) as k)""")
+def surround_mix(spark, sf_dir):
+    """Six channels of ten samples each to one."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [mixed(list(np.array(x.as_py()[:60], float).reshape(6, 10))) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], ["take_id", "mono"])
+
+    blocks = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("take_id"), "embedding")
+    return blocks.mapInArrow(run, "take_id long, mono array<double>").select("take_id", F.posexplode("mono").alias("place", "m")).select("take_id", "place", (F.round("m", 5) + 0.0).alias("mixed"))
+
+
+_FIXED = "printf('%.{1}f', floor({0} * 1{2} + 0.5) / 1{2})"
+
+
+def _print(x: str, places: int) -> str:
+    return _FIXED.format(x, places, "0" * places)
+
+
+_LINE = " || ',' || ".join([_print("t", 4), f"coalesce({_print('hz', 3)}, '')", f"coalesce({_print('(69 + 12 * log2(hz / 440))', 4)}, '')", _print("clarity", 4), _print("snr_db", 2), _print("peak_to_second_db", 2), _print("band_rms_db", 2)])
+
+
+@query(f" select take_id, frame_idx, {_LINE} as line from (select *, frame_idx / 64.0::double as t from frames_ev)", "frames_ev")
+def frame_csv(spark, sf_dir):
+    return documents.csv_lines(_frames(spark, sf_dir).withColumn("t_sec", F.col("frame_idx") / 64.0))
+
+
+@query(" select take_id, frame_idx, hz, snr_db, band_rms_db from frames_ev where hz is not null", "frames_ev")
+def frame_csv_read(spark, sf_dir):
+    """The lines read back: frames without a pitch are gone."""
+    lines = documents.csv_lines(_frames(spark, sf_dir).withColumn("t_sec", F.col("frame_idx") / 64.0))
+    return documents.parsed_lines(lines).select("take_id", "frame_idx", "hz", "snr_db", "band_rms_db")
+
+
+@query(""" select seq_id, count(*) as notes, sum(case when pos % 3 = 1 then 0.0 else dur_sec end) as total from notes_li where seq_id % 5 <> 0 and seq_id % 7 <> 0 and seq_id % 11 <> 0 group by seq_id""", "notes_li")
+def salvaged_targets(spark, sf_dir):
+    """Targets written as JSON, some of them damaged, and what can be read back."""
+    note = F.struct("pos", F.col("midi").cast("string").alias("midi"), F.when(F.col("pos") % 3 == 1, -1.0).otherwise(F.col("dur_sec")).alias("durSec"))
+    each = view(spark, sf_dir, "notes_li").groupBy("seq_id").agg(F.array_sort(F.collect_list(note)).alias("n"))
+    midi = lambda x: F.when(F.col("seq_id") % 11 == 0, F.lit('"high"')).otherwise(x["midi"])
+    notes = F.array_join(F.transform("n", lambda x: F.concat(F.lit('{"midi":'), midi(x), F.lit(',"durSec":'), x["durSec"].cast("string"), F.lit("}"))), ",")
+    name = F.when(F.col("seq_id") % 5 == 0, "").otherwise(F.concat(F.lit("t"), F.col("seq_id").cast("string")))
+    source = F.when(F.col("seq_id") % 7 == 0, "radio").otherwise("midi")
+    text = F.concat(F.lit('{"id":"'), name, F.lit('","name":"a","source":"'), source, F.lit('","notes":['), notes, F.lit("]}"))
+    rows = documents.salvaged_targets(each.select("seq_id", text.alias("json"))).where("target is not null")
+    return rows.select("seq_id", F.size("target.notes").cast("long").alias("notes"), F.aggregate("target.notes", F.lit(0.0), lambda a, n: a + n["dur_sec"]).alias("total"))
+
+
+@query(" select melody_id, cast(k as int) as pos, midi[k + 1] as midi, round(beats[k + 1]::double * 0.6::double, 6) as dur_sec from (values " + ", ".join(f"('{n}', {m}, {[float(x) for x in b]})" for n, (m, b) in documents.MELODIES.items()) + ") t(melody_id, midi, beats), (select unnest(range(15)) as k) where k < len(midi)")
+def bundled_melodies(spark, sf_dir):
+    return documents.bundled(spark).withColumn("dur_sec", F.round("dur_sec", 6))
+
+
+@query(""", m as (select *, row_number() over w as r, lag(hz) over w as before from frames_ev window w as (partition by take_id order by frame_idx))
+        select take_id, frame_idx, hz from (select *, row_number() over (partition by take_id order by frame_idx desc) as age from m where hz is not null or r = 1 or before is not null) where age <= 40""", "frames_ev")
+def live_trail(spark, sf_dir):
+    points = _frames(spark, sf_dir).select("take_id", "frame_idx", F.col("hz").alias("midi"))
+    return melody.live_trail(points, 40).withColumnRenamed("midi", "hz")
+
+
+@query(""", p as (select take_id, frame_idx, 69 + 12 * log2(hz / 440) as midi, clarity, snr_db, clarity >= 0.5 and snr_db >= 12 as sure from frames_ev where hz > 0),
+        e as (select take_id, max(frame_idx) as fin, list_sort(list(midi) filter (where sure)) as s, list_sort(list(midi)) as a from p group by take_id),
+        x as (select take_id, fin, case when len(coalesce(s, [])) > 20 then s else a end as x from e), b as (select take_id, fin, floor(x[cast(floor(0.02 * (len(x) - 1)) as int) + 1]) - 2 as low, ceil(x[cast(floor(0.98 * (len(x) - 1)) as int) + 1]) + 2 as high from x),
+        c as (select take_id, cast(floor((high - midi) / (high - low) * 29 + 0.5) as int) as row, cast(floor(frame_idx / fin::double * 149 + 0.5) as int) as "column", case when sure then 2 when clarity >= 0.25 then 1 else 0 end as level from p join b using (take_id))
+        select take_id, row, "column", (['.', '+', '#'])[max(level) + 1] as mark from c where row between 0 and 29 group by take_id, row, "column" """, "frames_ev")
+def pitch_plot(spark, sf_dir):
+    points = _frames(spark, sf_dir).where("hz > 0").select("take_id", F.col("frame_idx").cast("double").alias("t_sec"), _midi().alias("midi"), "clarity", "snr_db")
+    return melody.plot_grid(points)
+
+
+@rows_only
+def echo_phrases(spark, sf_dir):
+    """A phrase for each user, biased towards their weak intervals, as long as their ramp says."""
+    lengths = practice.echo_lengths(practice.counted(_slots(spark, sf_dir), _extras(spark, sf_dir)))
+    return melody.echo_phrases(_weights(spark, sf_dir), lengths)

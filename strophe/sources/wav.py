@@ -90,3 +90,21 @@ def read_wav(spark: SparkSession, path: str) -> DataFrame:
                     yield as_blocks(name, samples, rate).assign(error=None)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+
+
+# Weights of the six channels of 5.1, and the longest take in seconds.
+SURROUND = [0.7071, 0.7071, 1.0, 0.0, 0.5, 0.5]
+MOST_SEC = 60.0
+
+
+def mixed(channels: list[np.ndarray]) -> np.ndarray:
+    """One channel of several: flat weights, or those of 5.1 for six; as long as the shortest."""
+    if not channels:
+        return np.zeros(0)
+    n = min(len(c) for c in channels)
+    weights = SURROUND if len(channels) == len(SURROUND) else [1.0] * len(channels)
+    return sum(w * np.asarray(c, float)[:n] for w, c in zip(weights, channels)) / sum(weights)
+
+
+def capped(samples: np.ndarray, rate: int, most_sec: float = MOST_SEC) -> np.ndarray:
+    return samples[: int(most_sec * rate)]
