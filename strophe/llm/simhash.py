@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, quoted
 from .components import components
 
 SHINGLE = 4
@@ -73,16 +73,17 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp (the fingerprint's bits as a signed number), one row a document."""
+    """id, th (a hash of the text), fp (the fingerprint's bits as a signed number), one row a document."""
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bits = [fingerprint(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(bits, np.uint64).view(np.int64))], ["id", "fp"])
+            bits = [fingerprint(t.as_py()) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(bits, np.uint64).view(np.int64))], ["id", "th", "fp"])
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, f"id {kind.simpleString()}, fp long")
+    text = F.col(quoted(text_col))
+    picked = docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return picked.mapInArrow(run, f"id {kind.simpleString()}, th long, fp long")
 
 
 def _posting_keys(fp: Column) -> Column:
@@ -143,22 +144,32 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return rows.select("members").mapInArrow(run, "u long, v long").distinct()
 
 
+def _rooted(marked: DataFrame, distance: int) -> DataFrame:
+    """fp, least (id that has it), root (the component's name) of every fingerprint."""
+    nodes, _ = materialize(marked.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    labels = components(links(nodes, distance))
+    return nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, fingerprint (16 hexadecimal digits), component_id (least id that links reach) of each document."""
     marked, _ = materialize(fingerprints(docs, id_col, text_col), "prints")
-    nodes, _ = materialize(marked.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    labels = components(links(nodes, distance))
-    rooted = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    rooted = _rooted(marked, distance)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     out = marked.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document of the least id of each component, all columns as they are.
+    """One document of each component, all columns as they are: that of the least id, an id before none.
 
-    Documents without an id stay; rows that repeat the least id of a component stay together.
+    Rows of one id are told apart by their texts; of rows that share both, one stays, whichever it is.
     """
-    groups = near_duplicates(docs, distance, id_col, text_col)
-    gone = groups.where(F.col(id_col).isNotNull() & (F.col(id_col) != F.col("component_id"))).select(F.col(id_col).alias("__strophe_id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__strophe_id"), "left_anti").select(*docs.columns)
+    marked, _ = materialize(fingerprints(docs, id_col, text_col), "prints")
+    named = marked.groupBy("id", "th", "fp").agg(F.count(F.lit(1)).alias("n")).join(_rooted(marked, distance).select("fp", "root"), "fp")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "th", "n")
+    chosen, _ = materialize(named.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.id").alias("__strophe_id"), F.col("k.th").alias("__strophe_th"), F.col("k.n").alias("__strophe_n")), "chosen")
+    own = F.col(quoted(id_col)).eqNullSafe(F.col("__strophe_id")) & (F.xxhash64(F.col(quoted(text_col))) == F.col("__strophe_th"))
+    met = docs.join(chosen, own)
+    again = met.where("__strophe_n > 1").dropDuplicates(["__strophe_id", "__strophe_th"])
+    return met.where("__strophe_n = 1").union(again).select(*[F.col(quoted(c)) for c in docs.columns])
