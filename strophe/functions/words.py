@@ -158,3 +158,15 @@ def readout(cents: Column, limit: float = 200.0) -> Column:
 def verdict_code(verdict: Column) -> Column:
     """One character a verdict."""
     return F.when(verdict == "missing", "-").otherwise(F.left(verdict, F.lit(1)))
+
+
+def hold_history(count: Column, offset: Column, wobble: Column) -> Column:
+    """The running averages, from three holds on."""
+    aim = F.when(F.abs(offset) < DEAD_ON_CENTS, "sitting right on it").otherwise(F.concat(F.lit("running "), distance(offset)))
+    said = F.concat(F.lit("Lately: "), aim, F.lit(", wobble ±"), _whole(wobble), F.lit(" cents."))
+    return F.when(count >= 3, said).otherwise("")
+
+
+def ramp(before: Column, after: Column) -> Column:
+    """What the length of the next phrase does."""
+    return F.when(after > before, "Got it — one more note next time.").when(after < before, "Let us take one back off.").otherwise("Same length again.")

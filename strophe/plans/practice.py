@@ -387,3 +387,23 @@ def latest_sessions(spark, sf_dir):
     latest = view(spark, sf_dir, "attempts_o").groupBy("user_id").agg(F.max_by(F.struct("attempt_id", "target_id"), "attempt_no").alias("a")).select("user_id", "a.*")
     library = view(spark, sf_dir, "notes_li").groupBy(F.col("seq_id").alias("target_id")).agg(F.count(F.lit(1)).alias("notes"), F.sum("dur_sec").alias("total"))
     return latest.join(library, "target_id").select("user_id", "attempt_id", "target_id", "notes", "total")
+
+
+@query(f""", h as (select take_id as user_id, frame_idx as place, clarity * 200 - 100 as median, snr_db - 10 as wobble, peak_to_second_db * 2 as drift from frames_ev),
+        k as (select *, row_number() over (partition by user_id order by place) as i, count(*) over (partition by user_id) as n from h where not (abs(drift) >= 25 and abs(drift) > wobble)),
+        m as (select user_id, count(*) as c, sum(median * pow(0.75, n - i) * (case when i = 1 then 1 else 0.25 end)) as o, sum(greatest(0.0, wobble) * pow(0.75, n - i) * (case when i = 1 then 1 else 0.25 end)) as w from k group by user_id)
+        select user_id, case when c < 3 then '' else 'Lately: ' || (case when abs(o) < 10 then 'sitting right on it' else 'running ' || {_DISTANCE.format("o")} end) || ', wobble ±' || cast(floor(w + 0.5) as bigint) || ' cents.' end as history from m""", "frames_ev")
+def hold_history(spark, sf_dir):
+    holds = _frames(spark, sf_dir).select(F.col("take_id").alias("user_id"), F.col("frame_idx").alias("at"), (F.col("clarity") * 200 - 100).alias("median"), (F.col("snr_db") - 10).alias("wobble"), (F.col("peak_to_second_db") * 2).alias("drift"))
+    return practice.hold_averages(holds).select("user_id", W.hold_history(F.col("count"), F.col("offset"), F.col("wobble")).alias("history"))
+
+
+@query(f""", {_COUNTS}, g as (select user_id, attempt_no, clean + "off" > 0 and wrong + missing + extra = 0 as got from n)
+        select user_id, attempt_no, case when got and 3 + user_id % 4 < 6 then 'Got it — one more note next time.' when not got and user_id % 4 > 0 then 'Let us take one back off.' else 'Same length again.' end as ramp from g""", *_SLOTS)
+def ramp_texts(spark, sf_dir):
+    """What is said after each attempt at a phrase of three to six notes."""
+    counts = practice.counted(_slots(spark, sf_dir), _extras(spark, sf_dir))
+    before = F.lit(3) + F.col("user_id") % 4
+    got = (F.col("clean") + F.col("off") > 0) & (F.col("wrong") + F.col("missing") + F.col("extra") == 0)
+    after = F.greatest(F.lit(3), F.least(F.lit(6), before + F.when(got, 1).otherwise(-1)))
+    return counts.select("user_id", "attempt_no", W.ramp(before, after).alias("ramp"))

@@ -95,6 +95,19 @@ def noise(n: int, seed: int, rms_db: float, pink: bool = False) -> np.ndarray:
     return x * (10 ** (rms_db / 20) / level)
 
 
+def steady(n: int, hz: float, rate: int, rms_db: float) -> np.ndarray:
+    """A sine at a level."""
+    return 10 ** (rms_db / 20) * np.sqrt(2) * np.sin(2 * np.pi * hz / rate * np.arange(n))
+
+
+def saw(n: int, hz: float, rate: int, rms_db: float) -> np.ndarray:
+    """A sawtooth at a level, of the harmonics below half the rate only."""
+    partials = np.arange(1, max(1, int(rate / 2 // hz) - 1) + 1)
+    x = sum(np.sin(2 * np.pi * hz * k / rate * np.arange(n)) / k for k in partials)
+    level = np.sqrt(np.mean(x**2)) if n else 0.0
+    return x * (10 ** (rms_db / 20) / (level or 1.0))
+
+
 def as_blocks(take_id: str, samples: np.ndarray, rate: int, block: int = 65536) -> pd.DataFrame:
     """The samples as rows of blocks; an empty take has no rows."""
     starts = range(0, len(samples), block)

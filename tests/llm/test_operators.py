@@ -437,3 +437,24 @@ def test_pipeline(spark):
     assert not line_truth([(r.doc_id, r.text) for r in rows])
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert sum(p.length for p in pieces) == sum(len(library(WORDS, r.text)) + 1 for r in rows)
+
+
+def test_pipeline_of_nothing_and_of_nulls(spark):
+    import corpus_pipeline
+
+    prose = ["the river ran past the old mill and the children played there all day", "le chat dort sur le lit et le chien court dans le jardin toute la nuit"]
+    rows = [(None,) * 6, (1, None, "en", None, None, "x"), (2, "", "en", "s", 0, None), (3, " \n\t", None, "s", 3, None), (None, prose[0] + " a", "en", None, 5, "y"), (None, prose[0] + " a", "en", None, 5, "y")]
+    rows += [(10 + i, f"{prose[i % 2]} {i * 7919} {'ab' * i} {i * i}", ("en", "fr")[i % 2], "s", 1, None) for i in range(40)]
+    rows += [(60, prose[1], "fr", "s", 1, None)] * 3 + [(61, ("long words of one very long text " * 40 + "\n") * 900, "en", "s", 1, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `odd.name` string"
+    for docs in (spark.createDataFrame(rows, schema).repartition(3), spark.createDataFrame([], schema)):
+        empty, columns = docs.isEmpty(), docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SF)
+            assert docs.columns == columns, name
+            docs, _ = corpus_pipeline.materialize(docs, "test")
+        left = docs.collect()
+        assert all(r.n_chars == len(r.text) for r in left) and len({(r.doc_id, r.text) for r in left}) == len(left)
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+        assert sum(p.length for p in pieces) == sum(len(library(WORDS, r.text)) + 1 for r in left)
+        assert bool(left) != empty and not any(r.doc_id in (1, 2, 3) for r in left)

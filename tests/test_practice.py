@@ -196,3 +196,12 @@ def test_supersaw():
     cents = melody.supersaw_cents()
     assert cents == [-x for x in reversed(cents)] and cents[0] == -25 and cents[3] == 0 and abs(cents[5] - 25 * (2 / 3) ** 1.5) < 1e-12
     assert melody.supersaw_cents(0) == [] and melody.supersaw_cents(2) == [-25.0, 25.0]
+
+
+def test_levels_of_added_sounds():
+    from strophe.sources import generator
+
+    for x in (generator.saw(48000, 220.0, 48000, -30.0), generator.steady(48000, 50.0, 48000, -30.0)):
+        assert abs(20 * np.log10(np.sqrt(np.mean(x**2))) + 30) < 0.01
+    power = np.abs(np.fft.rfft(generator.saw(48000, 1000.0, 48000, 0.0)))
+    assert power[23001:].max() < 1e-6 * power[1000] and abs(power[2000] / power[1000] - 0.5) < 1e-6
