@@ -29,8 +29,8 @@ import pyarrow.compute as pc
 
 from .common import held
 
-GROUP_BYTES = 2 << 20
-MEMO_PIECES = 250_000
+GROUP_BYTES = 4 << 20
+MEMO_PIECES = 700_000
 #: Longer pieces are encoded each time and not remembered.
 MEMO_LENGTH = 64
 
