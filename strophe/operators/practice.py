@@ -22,6 +22,8 @@ RAMP_LOW, RAMP_HIGH = 3, 6
 SLICE, LEAST_SLICE = 0.5, 1e-3
 PADDING, LEAST_RANGE, EMPTY_CENTRE = 2, 12, 84
 VERDICTS = ("clean", "off", "wrong", "missing")
+STATS_VERSION = 1
+_INTERVAL = "observations double, clean double, off double, wrong double, missing double, absCentsEwma double, centsObservations double, wrongRateEwma double"
 
 
 def steps_into(slots: DataFrame) -> DataFrame:
@@ -220,3 +222,26 @@ def chips(items: DataFrame) -> DataFrame:
     """The verdict strip of an overlay: a pitch is named only where it was wrong or extra."""
     named = F.when(F.col("outcome").isin("wrong", "extra"), F.floor(F.col("heard_midi") + 0.5).cast("int"))
     return items.select("attempt_id", "index", "outcome", (F.col("slot") + 1).alias("position"), F.col("residual_cents").alias("cents"), named.alias("name_midi"))
+
+
+def stats_documents(ledger: DataFrame, version: Column | None = None) -> DataFrame:
+    """user_id, json: each user's ledger as a document, steps as its keys."""
+    stat = F.struct("observations", *VERDICTS, F.col("abs_cents").alias("absCentsEwma"), F.col("cents_observations").alias("centsObservations"), F.col("wrong_rate").alias("wrongRateEwma"))
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("step").cast("string").alias("step"), stat.alias("stat")))))
+    body = F.struct((F.lit(STATS_VERSION) if version is None else F.first(version)).alias("version"), entries.alias("intervals"))
+    return ledger.groupBy("user_id").agg(F.to_json(body).alias("json"))
+
+
+def read_stats(documents: DataFrame) -> DataFrame:
+    """user_id, step and the ledger's columns of documents (user_id, json) of this version.
+
+    Another version has no rows. Keys that are no whole number are left out; counts that are missing or
+    negative are 0, means are held to their ranges.
+    """
+    read = F.from_json("json", F.lit(f"version double, intervals map<string, struct<{_INTERVAL}>>"))
+    rows = documents.select("user_id", read.alias("d")).where(F.col("d.version") == STATS_VERSION).select("user_id", F.explode("d.intervals").alias("key", "s"))
+    count = lambda c: F.greatest(F.lit(0), F.floor(F.coalesce(F.col(f"s.{c}"), F.lit(0.0)))).cast("long")
+    mean = lambda c: F.greatest(F.lit(0.0), F.coalesce(F.col(f"s.{c}"), F.lit(0.0)))
+    counts = [count(v).alias(v) for v in (*VERDICTS, "observations")]
+    known = rows.where("s is not null").withColumn("step", F.expr("try_cast(key as int)")).where("step is not null")
+    return known.select("user_id", "step", *counts, count("centsObservations").alias("cents_observations"), F.least(F.lit(1.0), mean("wrongRateEwma")).alias("wrong_rate"), mean("absCentsEwma").alias("abs_cents"))

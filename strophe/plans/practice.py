@@ -46,6 +46,14 @@ def practice_ledger(spark, sf_dir):
     return ledger.select("user_id", "step", *practice.VERDICTS, "observations", "cents_observations", _nine("wrong_rate").alias("wrong_rate"), _nine("abs_cents").alias("abs_cents"))
 
 
+@query(f', {_EACH} select user_id, step, clean, "off", wrong, missing, observations, cents_observations, round(wrong_rate, 6) + 0.0 as wrong_rate, round(abs_cents, 6) + 0.0 as abs_cents from ledger where user_id % 6 <> 0', "aligned_o")
+def stats_round_trip(spark, sf_dir):
+    """The ledgers as documents and back; those of another version are not read."""
+    documents = practice.stats_documents(practice.interval_ledger(_slots(spark, sf_dir)), F.when(F.col("user_id") % 6 == 0, 2).otherwise(1))
+    back = practice.read_stats(documents)
+    return back.select("user_id", "step", *practice.VERDICTS, "observations", "cents_observations", _nine("wrong_rate").alias("wrong_rate"), _nine("abs_cents").alias("abs_cents"))
+
+
 @query(f", {_EACH} select user_id, step, round(weakness, 6) + 0.0 as weakness, rank from (select *, row_number() over (partition by user_id order by round(weakness, 9) desc, observations desc, step) as rank from weak where observations >= 3) where rank <= 5", "aligned_o")
 def weakest_intervals(spark, sf_dir):
     return practice.weakest(practice.interval_ledger(_slots(spark, sf_dir)), 3, 5).select("user_id", "step", _nine("weakness").alias("weakness"), F.col("rank").cast("long").alias("rank"))

@@ -205,3 +205,9 @@ def test_levels_of_added_sounds():
         assert abs(20 * np.log10(np.sqrt(np.mean(x**2))) + 30) < 0.01
     power = np.abs(np.fft.rfft(generator.saw(48000, 1000.0, 48000, 0.0)))
     assert power[23001:].max() < 1e-6 * power[1000] and abs(power[2000] / power[1000] - 0.5) < 1e-6
+
+
+def test_hostile_statistics(spark):
+    rows = [(1, '{"version":1,"intervals":{"2":{"observations":3.7,"clean":-4,"wrongRateEwma":7},"x":{"clean":1},"3":null,"-5":{}}}'), (2, '{"version":9,"intervals":{"2":{"clean":1}}}'), (3, "no json"), (4, None), (5, "[]"), (6, '{"intervals":{}}')]
+    got = practice.read_stats(spark.createDataFrame(rows, "user_id long, json string")).collect()
+    assert sorted((r.user_id, r.step, r.observations, r.clean, r.wrong_rate) for r in got) == [(1, -5, 0, 0, 0.0), (1, 2, 3, 0, 1.0)]
