@@ -142,6 +142,10 @@ def frames_of(samples: np.ndarray, rate: int, settings: Analysis, first: int = 0
     return table
 
 
+#: Fixed value: the longest take in seconds.
+MOST_SEC = 60.0
+
+
 class Tracker:
     """Frames of a stream of blocks; the same frames whatever the blocks' sizes. Carries less than a window."""
 
@@ -166,20 +170,24 @@ class Tracker:
 def analyse(audio: DataFrame, settings: Analysis = Analysis()) -> DataFrame:
     """Frames of blocks (take_id, sample_rate, start_sample, samples): blocks of a take are joined in order.
 
-    One exchange by take. A take is bounded (60 seconds are 11.5 MB), so it fits a task; rows of a take must
-    share one rate. Null samples and missing blocks read as silence; hz is null where there is no peak.
+    One exchange by take. A take ends at MOST_SEC (11.5 MB), whatever its rows say, so it fits a task; rows
+    of a take must share one rate. Null samples and missing blocks read as silence; rows without a start, or
+    with one outside the take, are not read; hz is null where there is no peak.
     """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("start_sample", kind="stable")
+        rows, take = rows.sort_values("start_sample", kind="stable"), rows["take_id"].iloc[0]
         rate = int(rows["sample_rate"].iloc[0])
+        most = int(MOST_SEC * rate)
+        rows = rows[rows["start_sample"].between(0, most - 1)]
         ends = rows["start_sample"] + rows["samples"].map(lambda s: 0 if s is None else len(s))
-        samples = np.zeros(int(ends.max()))
-        for start, block in zip(rows["start_sample"], rows["samples"], strict=True):
+        samples = np.zeros(min(most, int(ends.max())) if len(rows) else 0)
+        for start, block in zip(rows["start_sample"].astype(int), rows["samples"], strict=True):
             if block is not None:
-                samples[start : start + len(block)] = np.nan_to_num(np.asarray(block, dtype=np.float64))
+                own = np.nan_to_num(np.asarray(block, dtype=np.float64))[: most - start]
+                samples[start : start + len(own)] = own
         out = frames_of(samples, rate, settings)
-        out.insert(0, "take_id", rows["take_id"].iloc[0])
+        out.insert(0, "take_id", take)
         return out
 
     return audio.select("take_id", "sample_rate", "start_sample", "samples").groupBy("take_id").applyInPandas(one, FRAMES)
