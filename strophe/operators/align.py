@@ -1,6 +1,6 @@
-"""Sequence alignment: edit cost in the engine, and the full aligner in Arrow batches.
+"""Edit cost of two sequences in the engine: the substitution-and-gap recurrence as nested folds over arrays.
 
-``alignment_cost`` is the substitution-and-gap recurrence as nested folds over arrays, without Python.
+It suits short sequences; the full aligner, under transposition and side by side, is in ``attempts``.
 """
 
 from __future__ import annotations
@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Substitution is free to 0.3 semitones and costs 1.5 from 2; a gap costs 1.
-FREE, FULL, MOST, GAP = 0.3, 2.0, 1.5, 1.0
+from .attempts import CLEAN, GAP, MOST_SUBSTITUTION, SATURATION
+
+#: Substitution is free up to this many semitones.
+FREE = CLEAN / 100
 
 
 def substitution_cost(difference: Column) -> Column:
-    return F.least(F.lit(MOST), F.greatest(F.lit(0.0), (F.abs(difference) - FREE) / (FULL - FREE) * MOST))
+    return F.least(F.lit(MOST_SUBSTITUTION), F.greatest(F.lit(0.0), (F.abs(difference) - FREE) / (SATURATION - FREE) * MOST_SUBSTITUTION))
 
 
 def alignment_cost(left: Column, right: Column) -> Column:

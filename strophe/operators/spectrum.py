@@ -7,11 +7,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def frame_starts(samples: str, window: int, hop: int) -> DataFrame:
+def frame_starts(samples: str, window: int, hop: int) -> Column:
     """A column of the first samples (from 0) of all full windows."""
     last = F.size(samples) - window
     return F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(hop))).otherwise(F.array().cast("array<int>"))

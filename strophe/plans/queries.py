@@ -101,7 +101,7 @@ def contiguous_runs(spark, sf_dir):
 @query(f""", r as ({_ISLANDS.format("frames_ev", "coalesce(hz > 0, false) and clarity >= 0.25", 3)})
         select r.take_id, start_idx, end_idx, n, round(median(69 + 12 * log2(f.hz / 440)), 6) + 0.0 as midi from r join frames_ev f on f.take_id = r.take_id and f.frame_idx between start_idx and end_idx group by all""", "frames_ev")
 def run_summary(spark, sf_dir):
-    """Voiced runs and the median pitch of each: one exchange by take, then a range join within it."""
+    """Voiced runs and the median pitch of each: one exchange by take."""
     own = _frames(spark, sf_dir)
     kept = own.withColumn("flag", F.coalesce(F.expr("hz > 0 and clarity >= 0.25"), F.lit(False))).where("flag")
     island = kept.withColumn("island", F.col("frame_idx") - F.row_number().over(frames.take_order()))
