@@ -13,7 +13,8 @@ never splits one. Texts with another kind of space or with the separator used he
 
 Texts go through Arrow kernels in groups: cut, dictionary-encode, look the distinct pieces up, gather.
 Unknown pieces go to the library in one call. Memory is bounded: a group holds about ``GROUP_BYTES`` and
-the table of known pieces is emptied at ``MEMO_PIECES`` entries.
+the table of known pieces holds about ``MEMO_PIECES`` entries: when its newer half is full, the older half goes,
+and what is met again moves to the newer one.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ import pyarrow.compute as pc
 
 from .common import held
 
-GROUP_BYTES = 4 << 20
-MEMO_PIECES = 700_000
+GROUP_BYTES = 3 << 20
+MEMO_PIECES = 400_000
 #: Longer pieces are encoded each time and not remembered.
 MEMO_LENGTH = 64
 
@@ -88,6 +89,7 @@ class Encoder:
         self.kind = self._family(spec)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def _family(spec: dict) -> str:
@@ -120,10 +122,16 @@ class Encoder:
         return [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
     def _lookup(self, names: list[str]) -> list[bytes]:
-        if len(self.known) > MEMO_PIECES:
-            self.known.clear()
-        known = self.known
-        new = [n for n in names if n not in known]
+        if len(self.known) > MEMO_PIECES // 2:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = []
+        for n in names:
+            if n not in known:
+                if n in older:
+                    known[n] = older[n]
+                else:
+                    new.append(n)
         known.update(zip(new, self._pieces(new)))
         out = [known[n] for n in names]
         for n in new:

@@ -67,6 +67,17 @@ def test_pieces_encode_as_whole_texts(path):
     assert got == [e.ids for e in own.library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_a_small_memory_of_pieces_changes_nothing(monkeypatch):
+    import pyarrow as pa
+
+    texts = [f"{LINE} {i * 7919} word{i % 50}" for i in range(300)]
+    monkeypatch.setattr(tokens, "MEMO_PIECES", 20)
+    monkeypatch.setattr(tokens, "GROUP_BYTES", 200)
+    own = tokens.Encoder(BYTES)
+    got = [ids.tolist() for ids, _ in map(lambda g: own._group(g), tokens.groups(pa.array(texts), 200))]
+    assert [x for g in got for x in g] == [x for e in own.library.encode_batch(texts, add_special_tokens=False) for x in e.ids]
+
+
 def test_token_counts(docs, none):
     got = sorted(bpecount.count_tokens(docs, BYTES).collect(), key=str)
     want = [(r.doc_id, len((r.text or "").encode()), n := len(library(BYTES, r.text)), n > 1024) for r in docs.collect()]
