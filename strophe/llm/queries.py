@@ -13,6 +13,7 @@ from .common import load
 from .decontam import detect
 from .langid import fit, held_out, predict
 from .linededup import line_report
+from .merkle import manifest
 from .packing import pack
 from .rules import judge
 from .simhash import near_duplicates
@@ -85,7 +86,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(load(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_tables, op2_decontaminate, op3_url_filters, op4_warc, op5_quality, op6_line_dedup, op7_pack, op8_language, op9_simhash, op10_token_counts)}
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document, by the CRC-32 of its id, arrives with its text's A-Z lower-cased."""
+    return manifest(load(spark, sf_dir, "documents"), tampered=lambda i: F.crc32(i.cast("string").cast("binary")) % 3 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_tables, op2_decontaminate, op3_url_filters, op4_warc, op5_quality, op6_line_dedup, op7_pack, op8_language, op9_simhash, op10_token_counts, op12_merkle)}
+#: Unsigned CRC-32 of a text's UTF-8 bytes, bit by bit: the polynomial is fixed.
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen({0})), lambda i: ('0x' || hex(encode({0}))[2 * i + 1 : 2 * i + 2])::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, z: case when a % 2 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)))"""
+_FIELDS = " || ".join(f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars")) + " as head"
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filters": r"""
         with c as (select page_id, url, page_id % 365 as t, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) as host,
@@ -111,4 +121,38 @@ ORACLE_SQL: dict[str, str] = {
                case when page_id <> first then first end as refers_to
         from d
     """,
+    "op12_merkle": rf"""
+        with recursive d as (select doc_id, source, lang, n_chars, text, {CRC32.format("cast(doc_id as varchar)")} % 3 = 0 as tampered from documents),
+        e as (select doc_id, lang, tampered, {_FIELDS}, '-' as none, text is null as bare,
+                     translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low, text from d),
+        l as (select doc_id, case when lang is null then '' else ':' || lang end as tree, tampered,
+                     sha256(head || case when bare then '-' else strlen(text) || ':' || text end) as leaf,
+                     sha256(head || case when bare then '-' else strlen(low) || ':' || low end) as lowered from e),
+        n as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as idx from l),
+        g as (select tree, 0 as h, idx, leaf as digest, count(*) over (partition by tree) as m from n
+              union all
+              select tree, h + 1, idx // 8, sha256(string_agg(digest, '' order by idx)), (any_value(m) + 7) // 8 from g where m > 1 group by tree, h, idx // 8),
+        roots as (select tree, digest, h from g where m = 1),
+        r as (select '' as tree, 0 as h, row_number() over (order by tree) - 1 as idx, digest, count(*) over () as m from roots
+              union all
+              select tree, h + 1, idx // 8, sha256(string_agg(digest, '' order by idx)), (any_value(m) + 7) // 8 from r where m > 1 group by tree, h, idx // 8),
+        placed as (select tree, row_number() over (order by tree) - 1 as top, digest as subroot, h as depth from roots),
+        nodes as (select tree, h, idx, digest, m from g where m > 1 union all select '#', h, idx, digest, m from r where m > 1),
+        run as (select a.tree, a.h, a.idx, coalesce(string_agg(b.digest, '' order by b.idx) filter (b.idx < a.idx), '') as before,
+                       coalesce(string_agg(b.digest, '' order by b.idx) filter (b.idx > a.idx), '') as after
+                from nodes a join nodes b on a.tree = b.tree and a.h = b.h and a.idx // 8 = b.idx // 8 group by a.tree, a.h, a.idx),
+        step as (select n.tree, n.idx as leaf_idx, run.h as level, run.before, run.after from n join run on run.tree = n.tree and run.idx = n.idx // cast(pow(8, run.h) as bigint)
+                 union all
+                 select n.tree, n.idx, p.depth + run.h, run.before, run.after from n join placed p using (tree) join run on run.tree = '#' and run.idx = p.top // cast(pow(8, run.h) as bigint)),
+        way as (select tree, leaf_idx, list(before order by level) as befores, list(after order by level) as afters, sha256(string_agg(before || after, '' order by level)) as proof from step group by all),
+        f as (select n.tree, n.idx, case when n.tampered then n.lowered else n.leaf end as digest, 0 as level from n
+              union all
+              select f.tree, f.idx, sha256(way.befores[f.level + 1] || f.digest || way.afters[f.level + 1]), f.level + 1
+              from f join way on way.tree = f.tree and way.leaf_idx = f.idx where f.level < len(way.befores)),
+        last as (select tree, idx, arg_max(digest, level) as folded_root from f group by tree, idx)
+        select n.doc_id, n.leaf, p.subroot, (select digest from r where m = 1) as root, coalesce(way.proof, sha256('')) as proof_sha256,
+               last.folded_root, last.folded_root = (select digest from r where m = 1) as verified
+        from n join placed p using (tree) join last on last.tree = n.tree and last.idx = n.idx
+        left join way on way.tree = n.tree and way.leaf_idx = n.idx
+    """,
 }
