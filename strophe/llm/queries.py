@@ -18,6 +18,7 @@ from .packing import pack
 from .rules import judge
 from .simhash import near_duplicates
 from .sstable import token_tables
+from .trie import trie
 from .urlfilter import evaluate, host_of
 from .warc import archive
 
@@ -86,12 +87,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(load(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=1024)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie(load(spark, sf_dir, "conversations"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third document, by the CRC-32 of its id, arrives with its text's A-Z lower-cased."""
     return manifest(load(spark, sf_dir, "documents"), tampered=lambda i: F.crc32(i.cast("string").cast("binary")) % 3 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_tables, op2_decontaminate, op3_url_filters, op4_warc, op5_quality, op6_line_dedup, op7_pack, op8_language, op9_simhash, op10_token_counts, op12_merkle)}
+QUERIES = {f.__name__: f for f in (op1_token_tables, op2_decontaminate, op3_url_filters, op4_warc, op5_quality, op6_line_dedup, op7_pack, op8_language, op9_simhash, op10_token_counts, op11_prefix_trie, op12_merkle)}
 #: Unsigned CRC-32 of a text's UTF-8 bytes, bit by bit: the polynomial is fixed.
 CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen({0})), lambda i: ('0x' || hex(encode({0}))[2 * i + 1 : 2 * i + 2])::BIGINT)),
     lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, z: case when a % 2 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)))"""
@@ -121,6 +126,27 @@ ORACLE_SQL: dict[str, str] = {
                case when page_id <> first then first end as refers_to
         from d
     """,
+    "op11_prefix_trie": rf"""
+        with recursive t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), md5(coalesce(text, ''))) as pos,
+                                    coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+        c as (select conv_id, count(*) as n, {CRC32.format("cast(conv_id as varchar)")} % 4 as h from t group by conv_id),
+        lent as (select c.conv_id, t.pos as depth, role, text from c join t on t.conv_id = c.conv_id - c.conv_id % 20 and t.pos <= c.h),
+        m as (select c.conv_id, h, coalesce(k, 0) as m from c left join (select conv_id, count(*) as k from lent group by conv_id) using (conv_id)),
+        b as (select * from lent union all select t.conv_id, t.pos - h + m, role, text from t join m using (conv_id) where pos > h),
+        walk as (select conv_id, 0 as depth, '' as node, '' as up, 0 as words from c
+                 union all
+                 select b.conv_id, b.depth, md5(walk.node || strlen(role) || ':' || role || text), walk.node, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))
+                 from walk join b on b.conv_id = walk.conv_id and b.depth = walk.depth + 1),
+        last as (select conv_id, max(depth) as depth from walk group by conv_id),
+        e as (select node, sha256(string_agg(conv_id, ',' order by conv_id)) as ends from walk join last using (conv_id, depth) group by node),
+        n as (select node, depth, any_value(up) as up, any_value(words) as words, count(*) as n_convs, min(conv_id) as conv_id from walk group by node, depth),
+        k as (select up as node, count(*) as n_children from n where depth > 0 group by up),
+        lines as (select node as top, node, depth from n union all select lines.top, n.node, n.depth from lines join n on n.up = lines.node and n.depth = lines.depth + 1),
+        s as (select top as node, count(*) filter (k.node is null) as n_leaves, sum((n_convs - 1) * words) as saved
+              from lines join n on n.node = lines.node left join k on k.node = lines.node group by top)
+        select n.conv_id, n.depth::bigint as depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children, n_leaves, saved::bigint as saved_tokens, coalesce(ends, sha256('')) as ends_sha256
+        from n join s on s.node = n.node left join k on k.node = n.node left join e on e.node = n.node left join n p on n.depth > 0 and p.node = n.up
+    """,
     "op12_merkle": rf"""
         with recursive d as (select doc_id, source, lang, n_chars, text, {CRC32.format("cast(doc_id as varchar)")} % 3 = 0 as tampered from documents),
         e as (select doc_id, lang, tampered, {_FIELDS}, '-' as none, text is null as bare,
