@@ -14,6 +14,7 @@ from .decontam import detect
 from .langid import fit, held_out, predict
 from .linededup import line_report
 from .merkle import manifest
+from .minhash import near_duplicates as near_documents
 from .packing import pack
 from .rules import judge
 from .simhash import near_duplicates
@@ -96,7 +97,11 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(load(spark, sf_dir, "documents"), tampered=lambda i: F.crc32(i.cast("string").cast("binary")) % 3 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_tables, op2_decontaminate, op3_url_filters, op4_warc, op5_quality, op6_line_dedup, op7_pack, op8_language, op9_simhash, op10_token_counts, op11_prefix_trie, op12_merkle)}
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_documents(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_tables, op2_decontaminate, op3_url_filters, op4_warc, op5_quality, op6_line_dedup, op7_pack, op8_language, op9_simhash, op10_token_counts, op11_prefix_trie, op12_merkle, op13_minhash)}
 #: Unsigned CRC-32 of a text's UTF-8 bytes, bit by bit: the polynomial is fixed.
 CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen({0})), lambda i: ('0x' || hex(encode({0}))[2 * i + 1 : 2 * i + 2])::BIGINT)),
     lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, z: case when a % 2 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)))"""
@@ -181,4 +186,20 @@ ORACLE_SQL: dict[str, str] = {
         from n join placed p using (tree) join last on last.tree = n.tree and last.idx = n.idx
         left join way on way.tree = n.tree and way.leaf_idx = n.idx
     """,
+    "op13_minhash": r"""
+        with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+        s as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+                             else list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) end as g from d),
+        k as (select doc_id, len(g) as n, md5(array_to_string(list_sort(g), chr(10))) as name, g from s),
+        u as (select name, any_value(n) as n, any_value(g) as g, min(doc_id) as least from k where n > 0 group by name),
+        p as (select name, n, unnest(g) as shingle from u),
+        pairs as (select a.name as x, b.name as y, count(*) as c, any_value(a.n) + any_value(b.n) as total from p a join p b on a.shingle = b.shingle and a.name < b.name group by a.name, b.name),
+        links as (select x, y from pairs where 100 * c >= 80 * (total - c)),
+        edges as (select x, y from links union all select y, x from links),
+        reach as (select name, name as other from u union select reach.name, edges.y from reach join edges on edges.x = reach.other),
+        best as (select reach.name, min(u.least) as component_id from reach join u on u.name = reach.other group by reach.name)
+        select doc_id, n::bigint as n_shingles, case when n = 0 then doc_id else component_id end as component_id,
+               doc_id is not distinct from case when n = 0 then doc_id else component_id end as kept
+        from k left join best using (name)
+    """,
 }
