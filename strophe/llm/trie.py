@@ -49,7 +49,10 @@ def turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     rows = rows.select(F.col("conv").cast("long").alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     words = F.regexp_count("text", F.lit(_WORD)).cast("long")
     hashed = rows.select("conv", "turn", "role", F.md5("text").alias("tie"), F.xxhash64("role", "text").alias("a"), F.xxhash64(F.lit(1), "text", "role").alias("b"), words.alias("words"))
-    return in_order(hashed, ["conv", "turn", "role", "tie"], "turns").select("conv", "a", "b", "words", "at")
+    hashed, path = materialize(hashed, "hashed")  # the sort samples what it sorts: texts are read once
+    ordered = in_order(hashed, ["conv", "turn", "role", "tie"], "turns").select("conv", "a", "b", "words", "at")
+    discard(conversations.sparkSession, path)
+    return ordered
 
 
 def rebuilt(ordered: DataFrame) -> tuple[DataFrame, DataFrame]:
