@@ -40,9 +40,11 @@ SEED = 13
 #: Shingles whose slices are looked at together.
 STEP = 4096
 #: Shingles and members of one block.
-BLOCK_SHINGLES, BLOCK_MEMBERS = 1 << 20, 1024
+BLOCK_SHINGLES, BLOCK_MEMBERS = 1 << 18, 512
 #: Columns of the matrices that are multiplied at once.
-COLUMNS = 4096
+COLUMNS = 1024
+#: Texts that a task turns into sets before it hands them on.
+TEXTS = 1000
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -69,9 +71,15 @@ def signature(hashes: np.ndarray, circle: np.ndarray) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.min(parts, axis=0)
 
 
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, TEXTS):
+            yield b.slice(i, TEXTS)
+
+
 def _marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     circle = held("circulant", _circle)
-    for b in batches:
+    for b in _slices(batches):
         sizes, names, bands = [], [], []
         for text in b.column(2):
             own = shingles(text.as_py())
@@ -95,7 +103,7 @@ def marked(docs: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, n, hashes of the wanted nodes (node, least, th, name), each from the text of its least id."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             hashes = [shingles(t.as_py()) for t in b.column(2)]
             right = pa.array([xxhash.xxh3_128_digest(h.tobytes()) == name for h, name in zip(hashes, b.column(1).to_pylist())], pa.bool_())
             lists = pa.array([h.view(np.int64) for h in hashes], pa.list_(pa.int64()))
@@ -156,8 +164,11 @@ def _joining(nodes: list[int], labels: list[int], sets: list[np.ndarray], sides:
             root[x] = x = root[root[x]]
         return x
 
+    at, to = np.nonzero(alike)
+    _, numbers = np.unique(names, return_inverse=True)
+    _, first = np.unique(numbers[a][at] * len(names) + numbers[b][to], return_index=True)  # a link for two labels is enough
     out = []
-    for i, j in np.argwhere(alike).tolist():
+    for i, j in zip(at[first].tolist(), to[first].tolist()):
         u, v = find(labels[a[i]]), find(labels[b[j]])
         if u != v:
             root[u] = v
