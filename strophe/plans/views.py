@@ -16,6 +16,9 @@ VIEWS = {
                cast((event_id * 11) % 32 as double) as peak_to_second_db, cast((event_id * 29) % 64 as double) / 2 - 90 as band_rms_db,
                event_type = 'signup' as clipped
         from (select user_id as take_id, * from events)""",
+    "points_ev": """
+        select user_id as source_id, event_id, ts, case when event_type in ('error', 'view') then cast(null as double) else cast(400 + (event_id * 37) % 4096 as double) end as hz
+        from events""",
     "notes_li": """
         select seq_id, cast(row_number() over (partition by seq_id order by l_linenumber, l_partkey, l_suppkey) - 1 as int) as pos,
                cast(60 + cast(floor(l_quantity) as bigint) % 24 as int) as midi, cast(l_partkey % 100 - 50 as double) as cents_offset,
