@@ -197,9 +197,9 @@ def register_slips(spark, sf_dir):
 _ITEMS = """i as (select *, row_number() over (partition by attempt_id order by place, late, attempt_idx) - 1 as index from (
             select attempt_id, slot as place, 0 as late, slot, attempt_idx, verdict as outcome, target_midi, sung_midi + cents_offset / 100 as heard_midi, residual_cents, start_sec, end_sec from aligned_o
             union all select attempt_id, after_slot, 1, null, attempt_idx, 'extra', null, sung_midi + cents_offset / 100, null, start_sec, end_sec from extras_o)),
-        b as (select *, coalesce((select p.end_sec from i p where p.attempt_id = i.attempt_id and p.index < i.index and p.start_sec is not null order by p.index desc limit 1), 0.0) as before,
-                not exists (select 1 from i p where p.attempt_id = i.attempt_id and p.index < i.index and p.start_sec is not null) as ahead,
-                (select p.start_sec from i p where p.attempt_id = i.attempt_id and p.index > i.index and p.start_sec is not null order by p.index limit 1) as nxt,
+        b as (select *, coalesce(last_value(end_sec ignore nulls) over (partition by attempt_id order by index rows between unbounded preceding and 1 preceding), 0.0) as before,
+                max(start_sec) over (partition by attempt_id order by index rows between unbounded preceding and 1 preceding) is null as ahead,
+                first_value(start_sec ignore nulls) over (partition by attempt_id order by index rows between 1 following and unbounded following) as nxt,
                 count(start_sec) over (partition by attempt_id order by index) as island,
                 coalesce(max(end_sec) over (partition by attempt_id), 0.0) as take_end, greatest(0.001, 0.5 * coalesce(median(end_sec - start_sec) over (partition by attempt_id), 0.2)) as slice from i),
         m as (select *, row_number() over (partition by attempt_id, island order by index) - 1 as k, count(*) over (partition by attempt_id, island) as c from b where start_sec is null),
