@@ -19,10 +19,11 @@ _TONAL = "coalesce(hz > 0 and clarity >= 0.5 and snr_db >= 12 and peak_to_second
 _PERIOD = 512 / 48000
 
 
-def query(sql: str, *views: str):
+def query(sql: str, *views: str, recursive: bool = False):
     def register(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = with_views(sql, *views) if views else sql
+        whole = with_views(sql, *views) if views else sql
+        ORACLE_SQL[f.__name__] = whole.replace("with ", "with recursive ", 1) if recursive else whole
         return f
 
     return register

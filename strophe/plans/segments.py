@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import voicing
+from ..config import Segment
+from ..operators import movement, voicing
 from .queries import _TONAL, _frames, query
 
 # evidence near each frame by distance: what lies within four frames, or the nearest ones up to the quota
@@ -26,3 +27,79 @@ def evidence_floor(spark, sf_dir):
     own = _frames(spark, sf_dir).withColumn("loud", F.col("tonal") | F.expr("take_id % 5 = 0 and frame_idx % 16 <> 3"))
     settings = voicing.Voicing(background_above_db=2.0)
     return voicing.with_floor(own, settings, 9, "loud").select("take_id", "frame_idx", "seed_db", "background", "floor_db")
+
+
+# runs of 26 frames (of 58 where the centre steps) that rise and fall at a pace of their own, with small and, now and then, large noise; all values are dyadic
+PERIOD = 1 / 64
+_X = "72 + abs((frame_idx * (1 + take_id % 5)) % (16 + take_id % 7) - 8) * (1 + take_id % 3) / cast(8 as double) + (event_id * 37) % 16 / cast(64 as double) + case when event_id % 11 = 0 then 2 else 0 end"
+_STEPPED = "72 + case when (frame_idx // 23) % 2 = 0 then 0 else 1 + take_id % 3 end + (event_id * 37) % 4 / cast(64 as double)"
+_SLOPE = "list_transform(range(n), lambda i: case when n < 2 then 0.0 else (x[least(i + 1, n - 1) + 1] - x[greatest(i - 1, 0) + 1]) / ((least(i + 1, n - 1) - greatest(i - 1, 0)) / cast(64 as double)) end)"
+
+
+def _moving(spark, sf_dir, x=_X, every=29):
+    own = _frames(spark, sf_dir).withColumn("voiced", F.expr(f"frame_idx % {every} < {every - 3}"))
+    return movement.in_runs(own, 3).withColumn("x", F.expr(x.replace("//", "div")))
+
+
+def _legs_sql(source: str, name: str) -> str:
+    """Legs of the arrays x of source (take_id, run, x), found frame by frame by a recursion."""
+    return f"""a_{name} as (select *, len(x) as n from {source}), w_{name} as (select *, {_SLOPE} as sl from a_{name}),
+        r_{name} as (select take_id, run, 0 as p, -1 as s, 0 as b, 0.0::double as sign, 0.0::double as top, 0 as e, false as closed, 0 as ca, 0 as ce from w_{name}
+            union all
+            select take_id, run,
+                case when s < 0 then case when abs(sl[p + 1]) < 3 then p + 1 else greatest(p - 1, 0) + 1 end when stop then greatest(e, b) + 1 else p + 1 end,
+                case when s < 0 then case when abs(sl[p + 1]) < 3 then -1 else greatest(p - 1, 0) end when stop then -1 else s end,
+                case when s < 0 and abs(sl[p + 1]) >= 3 then p else b end, case when s < 0 and abs(sl[p + 1]) >= 3 then sign(sl[p + 1])::double else sg end,
+                case when s < 0 and abs(sl[p + 1]) >= 3 then x[greatest(p - 1, 0) + 1] when s >= 0 and not stop and ahead > 0.05 then x[p + 1] else top end,
+                case when s < 0 and abs(sl[p + 1]) >= 3 then greatest(p - 1, 0) when s >= 0 and not stop and ahead > 0.05 then p else e end,
+                s >= 0 and stop and e > s, s, e
+            from (select r.take_id, r.run, p, s, b, r.sign as sg, top, e, x, sl, n, (x[p + 1] - top) * r.sign as ahead, coalesce(p >= n or (not (x[p + 1] - top) * r.sign > 0.05 and (-(x[p + 1] - top) * r.sign > 0.6 or p - e > 5)), false) as stop
+                  from r_{name} r join w_{name} using (take_id, run) where s >= 0 or p < n - 1)),
+        legs_{name} as (select l.take_id, l.run, cast(row_number() over (partition by l.take_id, l.run order by ca) - 1 as int) as leg_no, ca as a, ce as e, x[ce + 1] - x[ca + 1] as d,
+            abs(x[ce + 1] - x[ca + 1]) / ((ce - ca) / cast(64 as double)) as rate from r_{name} l join w_{name} using (take_id, run) where closed)"""
+
+
+def _runs_sql(x: str, every: int = 29) -> str:
+    return f"""m as (select *, frame_idx - frame_idx % {every} as run, frame_idx % {every} as place, {x} as x, count(*) over (partition by take_id, frame_idx - frame_idx % {every}) as len from frames_ev where frame_idx % {every} < {every - 3}),
+        mm as (select * from m where len >= 3), rx as (select take_id, run, list(x order by place) as x from mm group by take_id, run)"""
+
+
+_LEGS = f"{_runs_sql(_X)}, {_legs_sql('rx', 'x')}"
+
+
+@query(f", {_LEGS} select take_id, run, leg_no, a, e, d, rate from legs_x", "frames_ev", recursive=True)
+def movement_legs(spark, sf_dir):
+    rows = movement.run_rows(_moving(spark, sf_dir), "x")
+    return movement.leg_table(rows, "x", PERIOD, 3.0)
+
+
+_MARKS = f"""{_LEGS}, g as (select *, lag(a) over w as pa, lag(e) over w as pe, lag(d) over w as pd, lead(a) over w as na, lead(e) over w as ne, lead(d) over w as nd from legs_x window w as (partition by take_id, run order by leg_no)),
+        u as (select *, coalesce(d * pd < 0 and abs(pd) >= 0.5 * abs(d) and greatest(a, pa) - least(e, pe) <= 3, false) as ub, coalesce(d * nd < 0 and abs(nd) >= 0.5 * abs(d) and greatest(a, na) - least(e, ne) <= 3, false) as un from g where abs(d) >= 0.8 or rate > 18),
+        k as (select take_id, run, case when ub or un then 'oscillating' else 'transitional' end as kind, a as low, e as high from u union all select take_id, run, 'oscillating', least(e, pe), greatest(a, pa) from u where ub
+              union all select take_id, run, 'oscillating', least(e, ne), greatest(a, na) from u where un)"""
+
+
+@query(f", {_MARKS} select mm.take_id, mm.frame_idx, coalesce(bool_or(kind = 'transitional' and abs(w_x.sl[place + 1]) >= 3), false) as transitional, coalesce(bool_or(kind = 'oscillating'), false) as oscillating from mm join w_x using (take_id, run) left join k on k.take_id = mm.take_id and k.run = mm.run and mm.place between k.low and k.high group by all", "frames_ev", recursive=True)
+def movement_marks(spark, sf_dir):
+    return movement.with_movement(_moving(spark, sf_dir), "x", PERIOD).select("take_id", "frame_idx", "transitional", "oscillating")
+
+
+_CENTRES = f"""{_runs_sql(_STEPPED, 61)}, sp as (select take_id, run, place, max(x) over w - min(x) over w as spread, (max(x) over w + min(x) over w) / 2 as mid, count(*) over w as c from mm window w as (partition by take_id, run order by place rows between current row and 18 following)),
+        cc as (select mm.take_id, mm.run, mm.place, coalesce(arg_min(sp.mid, sp.spread * 1000 + sp.place) filter (sp.c = 19), any_value(whole)) as centre from (select *, (min(x) over (partition by take_id, run) + max(x) over (partition by take_id, run)) / 2 as whole from mm) mm
+            left join sp on sp.take_id = mm.take_id and sp.run = mm.run and sp.place between mm.place - 18 and mm.place group by mm.take_id, mm.run, mm.place),
+        rc as (select take_id, run, list(centre order by place) as x from cc group by take_id, run), {_legs_sql('rc', 'c')},
+        q as (select l.*, w_c.x as c, w_c.sl as sl, w_c.n as n from legs_c l join w_c using (take_id, run) where abs(d) >= 0.6 and rate >= 18)"""
+
+
+@query(f", {_CENTRES} select take_id, run, place, centre from cc", "frames_ev", recursive=True)
+def run_centres(spark, sf_dir):
+    own = _moving(spark, sf_dir, _STEPPED, 61)
+    return movement.with_centre(own, "x", movement.Pace(PERIOD).centre).select("take_id", "run", "place", "centre")
+
+
+@query(f""", {_CENTRES} select distinct take_id, cast(run + list_position(list_transform(range(a, e + 1), lambda i: abs(sl[i + 1])), list_max(list_transform(range(a, e + 1), lambda i: abs(sl[i + 1])))) - 1 + a as int) as frame_idx from q
+        where a >= 2 and e + 2 < n and abs(c[a - 1] - c[a + 1]) <= 0.3 and abs(c[e + 3] - c[e + 1]) <= 0.3""", "frames_ev", recursive=True)
+def centre_steps(spark, sf_dir):
+    """Steps of the centre, with plateaus of two frames: a run here is too short for more."""
+    own = movement.with_centre(_moving(spark, sf_dir, _STEPPED, 61), "x", movement.Pace(PERIOD).centre)
+    return movement.step_places(movement.run_rows(own, "centre"), "centre", PERIOD, Segment(), 2).select("take_id", F.col("frame_idx").cast("int").alias("frame_idx"))
