@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import Segment
-from ..operators import movement, voicing
+from ..operators import drafts, movement, voicing
 from .queries import _TONAL, _frames, query
 
 # evidence near each frame by distance: what lies within four frames, or the nearest ones up to the quota
@@ -103,3 +103,35 @@ def centre_steps(spark, sf_dir):
     """Steps of the centre, with plateaus of two frames: a run here is too short for more."""
     own = movement.with_centre(_moving(spark, sf_dir, _STEPPED, 61), "x", movement.Pace(PERIOD).centre)
     return movement.step_places(movement.run_rows(own, "centre"), "centre", PERIOD, Segment(), 2).select("take_id", F.col("frame_idx").cast("int").alias("frame_idx"))
+
+
+# pitches that step, drift slowly and are off now and then; movement is given by the events
+_DRAFTED = "72 + case when (frame_idx // 23) % 2 = 0 then 0 else 1 + take_id % 3 end + frame_idx * (take_id % 4) / cast(64 as double) + (event_id * 37) % 4 / cast(64 as double) + case when event_id % 17 = 0 then 2 else 0 end"
+_MED = "list_sort({0})[cast(floor((len({0}) - 1) / 2) as int) + 1] / 2 + list_sort({0})[cast(floor(len({0}) / 2) as int) + 1] / 2"
+_TAIL = "list_transform({0}[-7:], lambda p: x[p + 1])"
+_DRAFTS = f"""{_runs_sql(_DRAFTED, 61)}, v as (select take_id, run, list(x order by place) as x, list(event_id % 13 = 0 order by place) as tr, list(event_id % 31 = 0 order by place) as st, count(*) as n from mm group by take_id, run),
+        z as (select take_id, run, -1 as i, 0 as start, -1 as settled, []::double[] as known, null::double as lo, null::double as hi, []::int[] as waiting, null::int as cl, null::int as ch, null::int as cs, null::double as cr from v
+            union all
+            select take_id, run, i, case when way = 'step' or way = 'slid' then i when way = 'apart' then onset else start end,
+                case when way = 'step' then -1 when way = 'slid' then i when way in ('settle', 'apart') then block[1] else settled end,
+                case when way = 'step' then [] when way = 'slid' then [here] when way in ('settle', 'apart') then bp when way = 'in' then more else known end,
+                case when way = 'step' then null when way = 'slid' then here when way in ('settle', 'apart') then {_MED.format("bp")} when way = 'in' then least(lo, {_MED.format("more")}) else lo end,
+                case when way = 'step' then null when way = 'slid' then here when way in ('settle', 'apart') then {_MED.format("bp")} when way = 'in' then greatest(hi, {_MED.format("more")}) else hi end,
+                case when way = 'step' then case when moving then [] else [i] end when way = 'wait' then longer else [] end,
+                case when way in ('step', 'slid') and i - 1 >= start or way = 'apart' and onset - 1 >= start then start end, case when way = 'apart' then onset - 1 else i - 1 end, settled, coalesce(hi - lo, 0.0)
+            from (select *, case when stepped and i > start then 'step' when moving then 'move' when settled < 0 then case when len(block) > 0 then 'settle' else 'wait' end
+                    when abs(here - ({_MED.format("known")})) <= 0.6 then case when greatest(hi, {_MED.format("ahead")}) - least(lo, {_MED.format("ahead")}) > 1.5 then 'slid' else 'in' end when len(block) > 0 then 'apart' else 'wait' end as way,
+                    list_transform(block, lambda p: x[p + 1])[-15:] as bp, greatest(start + 1, coalesce(list_max(list_filter(range(0, block[1]), lambda k: not tr[k + 1])) + 1, 0)) as onset
+                from (select *, case when len(longer) >= 7 and list_max({_TAIL.format("longer")}) - list_min({_TAIL.format("longer")}) <= 0.6
+                        then longer[coalesce(list_max(list_filter(range(len(longer)), lambda k: abs(x[longer[k + 1] + 1] - ({_MED.format(_TAIL.format("longer"))})) > 0.6)) + 2, 1):] else [] end as block
+                    from (select v.*, z.i + 1 as i, z.start, z.settled, z.known, z.lo, z.hi, x[z.i + 2] as here, tr[z.i + 2] as moving, st[z.i + 2] as stepped, list_append(z.waiting, z.i + 1) as longer,
+                            list_append(z.known, x[z.i + 2])[-15:] as ahead, list_append(list_concat(z.known, list_transform(z.waiting, lambda p: x[p + 1])), x[z.i + 2])[-15:] as more
+                          from z join v using (take_id, run) where z.i + 1 < v.n)))),
+        dr as (select take_id, run, cl as low, ch as high, cs as settled, cr as reach from z where cl is not null
+            union all select take_id, run, start, cast(n - 1 as int), settled, coalesce(hi - lo, 0.0) from z join v using (take_id, run) where i = n - 1)"""
+
+
+@query(f", {_DRAFTS} select take_id, cast(run + low as int) as start_idx, cast(run + high as int) as end_idx, cast(case when settled >= 0 then run + settled else -1 end as int) as settled_idx, settled > low as glided, reach from dr", "frames_ev", recursive=True)
+def draft_notes(spark, sf_dir):
+    moved = _moving(spark, sf_dir, _DRAFTED, 61).withColumns({"transitional": F.expr("event_id % 13 = 0"), "stepped": F.expr("event_id % 31 = 0")})
+    return drafts.drafts(moved, "x")
