@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import PRESETS, preset
 from ..functions import pitch as P
-from ..operators import attempts, melody, practice, segment
+from ..operators import attempts, melody, notes, practice
 from ..sources import documents
 from ..sources.wav import decode_wav, encode_wav, mixed
 from .practice import _extras, _slots, _weights
@@ -43,20 +43,23 @@ def _whistled(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f""" select cast(take_id as varchar) as take_id, cast(row_number() over (partition by take_id order by place) - 1 as int) as note_idx, cast(72 + 4 * abs(place % 4 - 2) as int) as midi,
-        round((low - 0.5) * {PERIOD!r}::double, 6) + 0.0 as start_sec, round((high + 0.5) * {PERIOD!r}::double, 6) + 0.0 as end_sec
-        from (select take_id, frame_idx // 24 as place, min(frame_idx) + 40 as low, max(frame_idx) + 40 as high, count(*) as n from frames_ev where frame_idx % 24 >= 2 group by all) where n * {PERIOD!r} >= 0.08""", "frames_ev")
+_WHISTLED = f"""n as (select cast(take_id as varchar) as take_id, cast(row_number() over (partition by take_id order by place) - 1 as int) as note_idx, cast(72 + 4 * abs(place % 4 - 2) as int) as midi,
+        (low - 0.5) * {PERIOD!r}::double as start_sec, (high + 0.5) * {PERIOD!r}::double as end_sec
+        from (select take_id, frame_idx // 24 as place, min(frame_idx) + 40 as low, max(frame_idx) + 40 as high, count(*) as n from frames_ev where frame_idx % 24 >= 2 group by all) where n * {PERIOD!r} >= 0.08)"""
+
+
+@query(f", {_WHISTLED} select take_id, note_idx, midi, round(start_sec, 6) + 0.0 as start_sec, round(end_sec, 6) + 0.0 as end_sec from n", "frames_ev")
 def transcribed_notes(spark, sf_dir):
     """The notes of every take; SQL knows them because it knows how the takes were made."""
-    notes = segment.transcribe_frames(_whistled(spark, sf_dir), RATE)
-    return notes.select("take_id", "note_idx", "midi", P.six(F.col("start_sec")).alias("start_sec"), P.six(F.col("end_sec")).alias("end_sec"))
+    found = notes.transcribe(_whistled(spark, sf_dir), RATE)
+    return found.select("take_id", "note_idx", "midi", P.six(F.col("start_sec")).alias("start_sec"), P.six(F.col("end_sec")).alias("end_sec"))
 
 
-@rows_only
+@query(f", {_WHISTLED} select config_id, take_id, count(*) as notes, round(sum(end_sec - start_sec), 5) + 0.0 as total from n, (select unnest(['strict', 'normal', 'forgiving']) as config_id) group by all", "frames_ev")
 def swept_notes(spark, sf_dir):
-    """Notes of every take under every preset."""
-    notes = segment.sweep(_whistled(spark, sf_dir), RATE, {name: preset(name) for name in PRESETS})
-    return notes.groupBy("config_id", "take_id").agg(F.count(F.lit(1)).alias("notes"), P.six(F.sum("duration_sec")).alias("total"))
+    """Notes of every take under every preset: on these takes they hear the same."""
+    found = notes.sweep(_whistled(spark, sf_dir), RATE, {name: preset(name) for name in PRESETS})
+    return found.groupBy("config_id", "take_id").agg(F.count(F.lit(1)).alias("notes"), (F.round(F.sum("duration_sec"), 5) + F.lit(0.0)).alias("total"))
 
 
 def _attempted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,55 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from strophe.config import Analysis, Config
-from strophe.operators import attempts, melody, practice, segment
+from strophe.operators import attempts, melody, practice
 from strophe.sources import documents, midi, wav
 from strophe.sources.generator import uniforms
 
-PERIOD = 512 / 48000
-
-
-def take(pitches, level=-20.0):
-    """A Take over frames of the given MIDI pitches (None: silence)."""
-    hz = [np.nan if p is None else 440 * 2 ** ((p - 69) / 12) for p in pitches]
-    loud = [-75.0 if p is None else level for p in pitches]
-    n = len(pitches)
-    f = pd.DataFrame({"t_sec": np.arange(n) * PERIOD, "hz": hz, "clarity": 0.9, "snr_db": 30.0, "peak_to_second_db": 25.0, "band_rms_db": loud, "clipped": False})
-    return segment.Take(f, Config(), PERIOD)
-
-
-def span(a, b, pitch, settled=-1):
-    return segment.Span(a, b, settled, False, 0.0, pitch)
-
-
-def test_a_dropout_keeps_the_first_notes_place():
-    own = take([None] * 40 + [76.0] * 30 + [None] * 3 + [76.0] * 30)
-    whole = own.joined(span(40, 69, 76.0), span(73, 102, 76.0, settled=80))
-    assert whole.settled == -1
-    assert own.joined(span(40, 69, 76.0), span(73, 102, 76.0, settled=80), 80).settled == 80
-
-
-def test_passes_start_their_chains_anew():
-    own = take([None] * 40 + [76.0] * 90)
-    seen = []
-
-    def belongs(a, low, high, b):
-        seen.append((a.start, low, high, b.start))
-        return b.start == 70
-
-    spans = [span(40, 69, 70.0), span(70, 99, 80.0), span(100, 129, 76.0)]
-    out = own.merge(spans, belongs)
-    assert [(s.start, s.end) for s in out] == [(40, 99), (100, 129)]
-    # within the pass the chain holds 70 to 80; the next pass begins from the merged pitch
-    assert seen[1] == (40, 70.0, 80.0, 100) and seen[2] == (40, 76.0, 76.0, 100)
-
-
-def test_short_notes_go_to_the_nearer_pitch():
-    own = take([None] * 40 + [76.0] * 40 + [76.4] * 4 + [79.0] * 40)
-    out = own.resolve_short([span(40, 79, 76.0), span(80, 83, 76.4), span(84, 123, 79.0)])
-    assert [(s.start, s.end) for s in out] == [(40, 83), (84, 123)]
-    assert own.resolve_short([span(80, 83, 90.0)]) == []
-
-
 def track(*events):
     body = b"".join(events)
     return b"MThd" + struct.pack(">IHHH", 6, 0, 1, 480) + b"MTrk" + struct.pack(">I", len(body)) + body

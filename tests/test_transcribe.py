@@ -1,4 +1,4 @@
-"""Audio to notes on signals with known notes; files there and back; alignment and held notes."""
+"""Frames of signals with known pitches; files there and back; alignment and held notes."""
 
 import struct
 
@@ -6,20 +6,13 @@ import numpy as np
 import pytest
 
 from strophe.config import Analysis, Config, override, parse_setting, preset
-from strophe.operators import analysis, attempts, segment
+from strophe.operators import analysis, attempts
 from strophe.sources import generator, midi, wav
 from strophe.sources.generator import Tone
 
 RATE = 48000
 
 
-def heard(notes, level=-75.0, **k):
-    samples, truth = generator.melody(notes, RATE, lead=0.5, tail=0.5)
-    samples = samples + np.random.default_rng(3).normal(0, 10 ** (level / 20), len(samples))
-    frames = analysis.frames_of(samples, RATE, Analysis())
-    return segment.transcribe_take(frames, RATE, Config(**k)), truth
-
-
 @pytest.mark.parametrize("midi_no", [72, 81, 90, 98])
 def test_pitch_of_frames(midi_no):
     samples, _ = generator.melody([Tone(midi_no, 0.5, detune=17)], RATE)
@@ -30,35 +23,8 @@ def test_pitch_of_frames(midi_no):
     assert np.abs(f.band_rms_db - (20 * np.log10(0.5 / np.sqrt(2)))).max() < 0.05
 
 
-def test_melody():
-    notes = [Tone(m, 0.4, gap=0.1) for m in (76, 79, 83, 79, 76)]
-    got, truth = heard(notes)
-    assert got.midi.tolist() == [76, 79, 83, 79, 76]
-    assert got.note_name.tolist() == ["E5", "G5", "B5", "G5", "E5"]
-    assert np.abs(got.start_sec - [t[1] for t in truth]).max() < 0.05
-    assert np.abs(got.duration_sec - 0.4).max() < 0.06
-
-
-def test_legato_steps_and_tuning():
-    got, _ = heard([Tone(m, 0.5, detune=20) for m in (76, 79, 76, 81)])
-    assert got.midi.tolist() == [76, 79, 76, 81]
-    assert abs(got.tuning_offset_cents.iloc[0] - 20) < 2 and got.cents_offset.abs().max() < 3
-
-
-def test_vibrato_is_one_note():
-    got, _ = heard([Tone(80, 1.2, vibrato=60)])
-    assert got.midi.tolist() == [80]
-
-
-def test_scoop_is_one_note():
-    got, _ = heard([Tone(79, 0.8, glide_in=-250, glide_ms=120)])
-    assert got.midi.tolist() == [79]
-
-
-def test_no_frames_and_no_notes():
+def test_no_frames():
     assert len(analysis.frames_of(np.zeros(100), RATE, Analysis())) == 0
-    assert len(segment.transcribe_take(analysis.frames_of(np.zeros(100), RATE, Analysis()), RATE)) == 0
-    assert len(segment.transcribe_take(analysis.frames_of(np.zeros(RATE), RATE, Analysis()), RATE)) == 0
 
 
 def test_blocks_of_any_size_give_the_same_frames():
@@ -73,18 +39,6 @@ def test_blocks_of_any_size_give_the_same_frames():
             assert np.allclose(np.concatenate([p.hz for p in got]), want.hz, equal_nan=True)
 
 
-def test_spark_equals_the_kernels(spark):
-    takes = {f"t{k}": generator.melody([Tone(m + k, 0.3, gap=0.1) for m in (74, 78)], RATE, lead=0.5)[0] for k in range(3)}
-    import pandas as pd
-
-    audio = spark.createDataFrame(pd.concat([generator.as_blocks(t, x, RATE, 10000) for t, x in takes.items()]), generator.AUDIO)
-    notes = segment.transcribe_frames(analysis.analyse(audio), RATE).toPandas().sort_values(["take_id", "note_idx"])
-    want = [n for x in takes.values() for n in segment.transcribe_take(analysis.frames_of(x.astype("float32"), RATE, Analysis()), RATE).midi]
-    assert notes.midi.tolist() == want == [74, 78, 75, 79, 76, 80]
-    swept = segment.sweep(analysis.analyse(audio), RATE, {"a": Config(), "b": preset("strict")})
-    assert {(r.config_id, r["count"]) for r in swept.groupBy("config_id").count().collect()} == {("a", 6), ("b", 6)}
-
-
 def test_settings():
     assert parse_setting("segment.confirm_frames=9") == ("segment.confirm_frames", 9)
     assert override(Config(), dict([parse_setting("voicing.onset_db=4")])).voicing.onset_db == 4
