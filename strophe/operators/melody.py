@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import uniform
 from ..functions.pitch import half_up, note_name
 from ..functions.words import staff_step
-from ..sources.generator import uniforms
 
 # Fixed values of the reference.
 CHORD_SEC, LEAST_SEC, MOST_NOTES, DRUMS = 0.03, 0.05, 64, 9
@@ -184,29 +181,33 @@ def plot_grid(points: DataFrame, columns: int = 150, rows: int = 30) -> DataFram
 ECHO_LOW, ECHO_HIGH, ECHO_SEC = 3, 6, 0.5
 
 
-def echo_phrase(weights: dict[int, float], draws: Iterator[float], length: int, low: int, high: int) -> list[int]:
-    """Notes of a walk in a register: a start in its middle third, then steps drawn by weight that stay inside."""
+def phrase(weights: Column, seed: Column, length: Column, low: int, high: int) -> Column:
+    """Notes of a walk in a register as an array: a start in its middle third, then steps drawn by weight that stay inside.
+
+    weights is an array of (step, weight) by step. The kth note takes the seed's kth draw.
+    """
     inner = max(1, (high - low) // 3)
-    notes = [low + (high - low - inner) // 2 + int(next(draws) * (inner + 1))]
-    for _ in range(max(ECHO_LOW, min(ECHO_HIGH, length)) - 1):
-        allowed = [(s, w) for s, w in sorted(weights.items()) if w > 0 and low <= notes[-1] + s <= high]
-        draw, run = next(draws) * sum(w for _, w in allowed), 0.0
-        picked = allowed[-1][0]
-        for s, w in allowed:
-            run += w
-            if run > draw:
-                picked = s
-                break
-        notes.append(notes[-1] + picked)
-    return notes
+    start = F.floor(uniform(seed, 1) * (inner + 1)).cast("int") + low + (high - low - inner) // 2
 
+    def step(notes: Column, k: Column) -> Column:
+        at = F.element_at(notes, -1)
+        allowed = F.filter(weights, lambda w: (w["weight"] > 0) & (at + w["step"] >= low) & (at + w["step"] <= high))
+        first = F.struct(F.lit(0.0).alias("run"), F.lit(None).cast("int").alias("step"))
 
-def echo_phrases(weights: DataFrame, lengths: DataFrame, low: int = DRILL_LOW, high: int = DRILL_HIGH) -> DataFrame:
-    """user_id, pos, midi: a phrase of each user's length (user_id, length) from their step weights; the id is the seed."""
+        def picked(ways: Column) -> Column:
+            total = F.aggregate(ways, F.lit(0.0), lambda run, w: run + w["weight"])
+            draw = uniform(seed, k) * total
+            passed = F.aggregate(ways, first, lambda s, w: F.struct((s["run"] + w["weight"]).alias("run"), F.coalesce(s["step"], F.when(s["run"] + w["weight"] > draw, w["step"])).alias("step")))
+            return F.coalesce(passed["step"], F.element_at(ways, -1)["step"])
 
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        user = int(f["user_id"].iloc[0])
-        notes = echo_phrase(dict(zip(f["step"].tolist(), f["weight"].tolist())), uniforms(user), int(f["length"].iloc[0]), low, high)
-        return pd.DataFrame({"user_id": user, "pos": range(len(notes)), "midi": notes})
+        return F.concat(notes, F.transform(F.array(allowed), lambda ways: at + picked(ways)))
 
-    return weights.join(lengths, "user_id").groupBy("user_id").applyInPandas(one, "user_id long, pos int, midi int")
+    count = F.greatest(F.lit(ECHO_LOW), F.least(F.lit(ECHO_HIGH), length))
+    return F.aggregate(F.sequence(F.lit(2), count), F.array(start), step)
+
+
+def echo_phrases(weights: DataFrame, lengths: DataFrame, low: int = DRILL_LOW, high: int = DRILL_HIGH) -> DataFrame:
+    """user_id, pos, midi: a phrase of each user's length (user_id, length) from their step weights; the id is the seed."""
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("step").cast("int").alias("step"), F.col("weight").cast("double").alias("weight"))))
+    own = weights.groupBy("user_id").agg(ordered.alias("weights")).join(lengths, "user_id")
+    return own.select("user_id", F.posexplode(phrase(F.col("weights"), F.col("user_id"), F.col("length"), low, high)).alias("pos", "midi"))

@@ -14,7 +14,7 @@ from ..functions import pitch as P
 from ..operators import attempts, melody, notes, practice
 from ..sources import documents
 from ..sources.wav import decode_wav, encode_wav, mixed
-from .practice import _extras, _slots, _weights
+from .practice import _COUNTS, _WEIGHTS, _extras, _slots, _weights
 from .queries import QUERIES, _frames, _midi, query
 from .views import view
 
@@ -197,8 +197,26 @@ def pitch_plot(spark, sf_dir):
     return melody.plot_grid(points)
 
 
-@rows_only
+_IMUL = lambda a, b: f"(({a})::hugeint * ({b})) % 4294967296"
+_DRAWS = f"""d1 as (select user_id, k, (user_id + k * 1831565813::hugeint) % 4294967296 as a from (select distinct user_id from attempts_o), (select unnest(range(1, 7)) as k)),
+        d2 as (select user_id, k, cast({_IMUL("xor(a::bigint, a::bigint >> 15)", "a::bigint | 1")} as bigint) as x from d1), d3 as (select user_id, k, xor(x, cast((x + {_IMUL("xor(x, x >> 7)", "x | 61")}) % 4294967296 as bigint)) as x from d2),
+        draws as (select user_id, list(xor(x, x >> 14) / 4294967296.0::double order by k) as u from d3 group by user_id)"""
+
+
+@query(f""", {_WEIGHTS}, {_COUNTS}, {_DRAWS}, g as (select user_id, list(clean + "off" > 0 and wrong + missing + extra = 0 order by attempt_no) as got from n group by user_id),
+        q as (select user_id, list_reduce(list_prepend(3, list_transform(got, lambda x: case when x then 1 else -1 end)), lambda a, d: greatest(3, least(6, a + d))) as length from g),
+        p as (select wt.user_id, list(step order by step) as s, list(round(weight, 9) order by step) as w from wt group by wt.user_id),
+        o as (select p.*, q.length, draws.u from p join q using (user_id) join draws using (user_id)),
+        walk as (select user_id, 0 as pos, cast(floor(u[1] * 5) as int) + 82 as midi from o
+                 union all
+                 select user_id, pos + 1, midi + coalesce(ss[list_position(list_transform(runs, lambda r: r > draw * runs[-1]), true)], ss[-1])
+                 from (select *, list_transform(range(1, len(ws) + 1), lambda i: list_reduce(ws[1:i], lambda a, b: a + b)) as runs
+                       from (select walk.user_id, walk.pos, walk.midi, o.u[walk.pos + 2] as draw, list_filter(o.s, lambda x: walk.midi + x between 78 and 90) as ss,
+                                    list_transform(list_filter(range(1, len(o.s) + 1), lambda i: walk.midi + o.s[i] between 78 and 90), lambda i: o.w[i]) as ws
+                             from walk join o using (user_id) where walk.pos + 1 < o.length)))
+        select user_id, cast(pos as int) as pos, cast(midi as int) as midi from walk""", "aligned_o", "extras_o", "attempts_o", recursive=True)
 def echo_phrases(spark, sf_dir):
     """A phrase for each user, biased towards their weak intervals, as long as their ramp says."""
     lengths = practice.echo_lengths(practice.counted(_slots(spark, sf_dir), _extras(spark, sf_dir)))
-    return melody.echo_phrases(_weights(spark, sf_dir), lengths)
+    weights = _weights(spark, sf_dir).withColumn("weight", F.round("weight", 9))
+    return melody.echo_phrases(weights, lengths)

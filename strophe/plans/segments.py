@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import Segment
-from ..operators import drafts, movement, voicing
+from ..config import Analysis, Segment
+from ..operators import analysis, drafts, movement, spectrum, voicing
 from .queries import _TONAL, _frames, query
 
 # evidence near each frame by distance: what lies within four frames, or the nearest ones up to the quota
@@ -135,3 +135,32 @@ _DRAFTS = f"""{_runs_sql(_DRAFTED, 61)}, v as (select take_id, run, list(x order
 def draft_notes(spark, sf_dir):
     moved = _moving(spark, sf_dir, _DRAFTED, 61).withColumns({"transitional": F.expr("event_id % 13 = 0"), "stepped": F.expr("event_id % 31 = 0")})
     return drafts.drafts(moved, "x")
+
+
+RATE = 48000
+SMALL = Analysis(window=64, zero_pad=1, hop=64, low_hz=1500.0, high_hz=18000.0)  # bins 2 to 24 of blocks of 64 samples
+_LOG = "ln(greatest({0}, 1e-24::double))"
+_DB = "greatest(-120, least(120, 10 * log10(greatest({0}, 1e-24::double) / greatest({1}, 1e-24::double))))"
+_SPECTRA = f"""with s as (select vec_id as take_id, unnest(embedding)::double as x, unnest(range(64)) as i from embeddings),
+        c as (select *, (x - avg(x) over (partition by take_id)) * (0.5 - 0.5 * cos(2 * pi() * i / 64)) as y from s),
+        b as (select take_id, k as bin, pow(sum(y * cos(2 * pi() * k * i / 64)), 2) + pow(sum(y * sin(2 * pi() * k * i / 64)), 2) as p, bool_or(abs(x) >= 0.98) as clipped from c, (select unnest(range(33)) as k) group by all),
+        n as (select *, {_LOG.format("lag(p, 1, p) over w")} as l, {_LOG.format("p")} as m, {_LOG.format("lead(p, 1, p) over w")} as r from b window w as (partition by take_id order by bin)),
+        v as (select take_id, bin, p, clipped, bin + case when l - 2 * m + r < 0 then greatest(-0.5, least(0.5, 0.5 * (l - r) / (l - 2 * m + r))) else 0 end as f from n),
+        t as (select take_id, arg_max(bin, p) as bin, max(p) as p, arg_max(f, p) as f, sum(p) as inside, median(p) as med from v where bin between 2 and 24 group by take_id),
+        h as (select t.take_id, arg_max(v.bin, v.p) as bin, max(v.p) as p, arg_max(v.f, v.p) as f from t join v on v.take_id = t.take_id and abs(v.bin - floor(t.f / 2 + 0.5)) <= 2 and v.bin > 2 and v.bin < 24 and v.p > 0 group by t.take_id),
+        o as (select t.take_id, t.inside, t.med, t.bin in (2, 24) as edge, coalesce(t.bin not in (2, 24) and {_DB.format("t.p", "h.p")} <= 6, false) as low, case when low then h.bin else t.bin end as bin, case when low then h.p else t.p end as p, case when low then h.f else t.f end as f
+              from t left join h using (take_id)),
+        a as (select take_id, sum(p * case when bin in (0, 32) then 1 else 2 end) as whole, bool_or(clipped) as clipped from v group by take_id),
+        q as (select o.take_id, sum(v.p) filter (abs(v.bin - o.bin) <= 2) as lobe, coalesce(max(v.p) filter (abs(v.bin - o.bin) > 4 and abs(v.bin - 2 * o.f) > 4 and abs(v.bin - 3 * o.f) > 4), 0) as second from o join v on v.take_id = o.take_id and v.bin between 2 and 24 group by o.take_id)
+        select take_id, round(case when not edge then f * 750 end, 4) + 0.0 as hz, round(greatest(0, least(1, lobe / inside)), 6) + 0.0 as clarity, round({_DB.format("p", "med")}, 4) + 0.0 as snr_db, round({_DB.format("p", "second")}, 4) + 0.0 as peak_to_second_db,
+            round(20 * log10(greatest(sqrt(2 * inside / 1536), 1e-12)), 4) + 0.0 as band_rms_db, round(20 * log10(greatest(sqrt(whole / 1536), 1e-12)), 4) + 0.0 as broadband_rms_db, clipped from o join a using (take_id) join q using (take_id)"""
+
+
+@query(_SPECTRA)
+def spectral_measures(spark, sf_dir):
+    """Pitch and measures of every embedding read as a block of 64 samples."""
+    blocks = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("take_id"), F.col("embedding").alias("samples"))
+    plan = analysis.plan(RATE, SMALL)
+    found = spectrum.measures(spectrum.bins(blocks, plan, SMALL.window), plan, RATE)
+    rounded = {c: F.round(c, 6 if c == "clarity" else 4) + F.lit(0.0) for c in found.columns if c not in ("take_id", "clipped")}
+    return found.withColumns(rounded)

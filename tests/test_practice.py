@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strophe.config import Analysis, Config
-from strophe.operators import attempts, melody, practice
+from strophe.functions import draws
+from strophe.operators import analysis, attempts, melody, practice, spectrum
 from strophe.sources import documents, midi, wav
 from strophe.sources.generator import uniforms
 
@@ -73,17 +74,60 @@ def test_the_cheapest_explanation_costs_no_more_than_any_other():
         assert attempts.align([*t[:k], t[k] + 1, *t[k + 1 :]], t)["cost"] <= attempts.MOST_SUBSTITUTION
 
 
-def test_phrases_stay_in_their_register():
-    weights = {s: 1.0 for s in range(-12, 13) if s}
-    for seed in range(200):
-        notes = melody.echo_phrase(weights, uniforms(seed), 6, 78, 90)
-        assert len(notes) == 6 and min(notes) >= 78 and max(notes) <= 90
-    assert melody.echo_phrase(weights, uniforms(5), 4, 78, 90) == melody.echo_phrase(weights, uniforms(5), 4, 78, 90)
-    often = {**weights, 7: 50.0}
-    steps = [b - a for seed in range(200) for n in [melody.echo_phrase(often, uniforms(seed), 6, 78, 90)] for a, b in zip(n, n[1:])]
+def phrase(weights, seed, length, low=78, high=90):
+    """The walk, step by step."""
+    draws, inner = uniforms(seed), max(1, (high - low) // 3)
+    out = [low + (high - low - inner) // 2 + int(next(draws) * (inner + 1))]
+    while len(out) < max(3, min(6, length)):
+        ways = [(s, w) for s, w in sorted(weights.items()) if w > 0 and low <= out[-1] + s <= high]
+        draw, run = next(draws) * sum(w for _, w in ways), 0.0
+        for s, w in ways:
+            run += w
+            if run > draw:
+                break
+        out.append(out[-1] + s)
+    return out
+
+
+def test_phrases_are_the_walk_step_by_step(spark):
+    even = {s: float(s != 3) for s in range(-12, 13) if s}
+    often = {**even, 7: 50.0}
+    rows = [(seed, s, w) for seed in range(400) for s, w in (even if seed < 200 else often).items()]
+    lengths = [(seed, seed % 9) for seed in range(400)]
+    got = melody.echo_phrases(spark.createDataFrame(rows, "user_id long, step int, weight double"), spark.createDataFrame(lengths, "user_id long, length int")).collect()
+    notes = {seed: [r.midi for r in sorted((r for r in got if r.user_id == seed), key=lambda r: r.pos)] for seed in range(400)}
+    assert notes == {seed: phrase(even if seed < 200 else often, seed, n) for seed, n in lengths}
+    assert all(3 <= len(x) <= 6 and min(x) >= 78 and max(x) <= 90 and 3 not in np.diff(x) for x in notes.values())
+    steps = [d for seed in range(200, 400) for d in np.diff(notes[seed])]
     assert steps.count(7) > len(steps) / 4
 
 
+def test_draws_are_those_of_the_generator(spark):
+    seeds = [0, 1, 7, 2**31, 2**32 - 1, -5]
+    got = {r.s: list(r.u) for r in spark.createDataFrame([(s,) for s in seeds], "s long").select("s", F.array(*[draws.uniform(F.col("s"), k) for k in range(1, 6)]).alias("u")).collect()}
+    for s in seeds:
+        own = uniforms(s)
+        assert got[s] == [next(own) for _ in range(5)]
+
+
+def test_measures_of_bins_are_those_of_blocks(spark):
+    settings = Analysis(window=64, zero_pad=2, hop=64, low_hz=1500.0, high_hz=18000.0)
+    draw, t = np.random.default_rng(4), np.arange(64) / 48000
+    rows = [np.sin(2 * np.pi * hz * t) * a + draw.normal(0, 0.01, 64) for hz in (1500, 2600, 5000, 9000, 17900) for a in (0.3, 0.99)]
+    rows += [0.2 * np.sin(2 * np.pi * 3000 * t) + 0.3 * np.sin(2 * np.pi * 6000 * t), np.zeros(64), np.full(64, 0.5), *draw.normal(0, 0.2, (20, 64))]
+    blocks = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(rows)] + [(900, [0.0] * 3), (901, None)], "take_id long, samples array<double>")
+    plan = analysis.plan(48000, settings)
+    got = {r.take_id: r for r in spectrum.measures(spectrum.bins(blocks, plan, 64), plan, 48000).collect()}
+    want = analysis.measure(np.array(rows), 48000, settings)
+    assert set(got) == set(range(len(rows)))
+    for k in range(len(rows)):
+        assert (got[k].hz is None) == bool(np.isnan(want["hz"][k])) and got[k].clipped == want["clipped"][k], k
+        assert got[k].hz is None or got[k].hz == pytest.approx(want["hz"][k])
+        for c in ("clarity", "snr_db", "peak_to_second_db", "band_rms_db", "broadband_rms_db"):
+            if k != 11 and k != 12:  # silence: what is left of it is rounding
+                assert got[k][c] == pytest.approx(want[c][k], abs=1e-6), (k, c)
+
+
 def test_a_changed_length_starts_over(spark):
     rows = [(1, a, a, 9, s, 60, 0.0, "wrong" if a < 3 else "clean") for a in range(5) for s in range(3 if a < 3 else 2)]
     slots = spark.createDataFrame(rows, "user_id long, attempt_id long, attempt_no int, target_id long, slot int, target_midi int, residual_cents double, verdict string")
