@@ -11,23 +11,17 @@ from pyspark.sql import functions as F
 
 from ..config import PRESETS, preset
 from ..functions import pitch as P
-from ..operators import attempts, melody, notes, practice
+from ..operators import alignment, attempts, melody, notes, practice
 from ..sources import documents
 from ..sources.wav import decode_wav, encode_wav, mixed
 from .practice import _COUNTS, _WEIGHTS, _extras, _slots, _weights
-from .queries import QUERIES, _frames, _midi, query
+from .queries import _frames, _midi, query
 from .views import view
 
 RATE = 48000
 PERIOD = 512 / RATE
 
 
-def rows_only(f):
-    """A query that SQL can't express: tests hold its kernel against known signals and plain loops."""
-    QUERIES[f.__name__] = f
-    return f
-
-
 def _whistled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The takes as whistling: after 40 silent frames, notes of 22 frames with two silent ones before each, up
     in major thirds and down again."""
@@ -88,10 +82,41 @@ def searched_alignments(spark, sf_dir):
     return found.where("slot = 0").select("attempt_id", P.six(F.col("searched_cost")).alias("cost"))
 
 
-@rows_only
+# the table of the best transposition, rows by target note, and the ways back from its end, cell by cell
+_ROWS = """list_reduce(list_prepend([list_transform(range(len(s) + 1), lambda i: cast(i as double))], list_transform(range(len(t)), lambda j: [[cast(j as double)]])), lambda rows, v: list_append(rows,
+            list_reduce(list_prepend([rows[-1][1] + 1.001], list_transform(range(len(s)), lambda i: [cast(i as double)])), lambda done, i: list_append(done, {cell}))))"""
+_PAIR = """least(1.5, greatest(0.0, (abs(s[{i}] + shift - t[{j}]) - 0.3) / 1.7 * 1.5)) + 0.02 * least(1.0, 64.0 / greatest(1, least(len(s), len(t)))) * least(1.0, abs(log2(sd[{i}]) - log2(td[{j}]) - tempo)) + each"""
+_LEFT = "rows[-1][cast(i[1] as int) + 2] + 1 + (case when i[1] + 1 < len(s) then 0.001 else 0.0 end)"
+_CELL = f"""list_transform(list_transform([rows[-1][cast(i[1] as int) + 1] + {_PAIR.format(i="cast(i[1] as int) + 1", j="cast(v[1][1] as int) + 1")}], lambda p: case when done[-1] + 1.0 < p - 1e-9 then done[-1] + 1.0 else p end),
+            lambda q: case when {_LEFT} < q - 1e-9 then {_LEFT} else q end)[1]"""
+_WAYS = """{name} as (select attempt_id, len(s) as i, len(t) as j, 0 as k, null::bigint as a, null::bigint as b from {source}
+            union all
+            select attempt_id, case when way = 2 then i else i - 1 end, case when way = 1 then j else j - 1 end, k + 1, case when way <> 2 then i - 1 end, case when way <> 1 then j - 1 end
+            from (select w.*, case when w.i = 0 then 2 when w.j = 0 then 1 when l < least_two - 1e-9 then 2 when u < p - 1e-9 then 1 else 0 end as way
+                  from (select w.*, p, u, l, case when u < p - 1e-9 then u else p end as least_two
+                        from (select w.*, c[w.j][w.i] + {pair} as p, c[w.j + 1][w.i] + 1.0 as u, c[w.j][w.i + 1] + 1 + (case when w.i < len(s) then 0.001 else 0.0 end) as l from {name} w join {source} using (attempt_id) where w.i > 0 or w.j > 0) w) w) w)"""
+
+
+def _way(name: str, source: str) -> str:
+    return _WAYS.format(name=name, source=source, pair=_PAIR.format(i="w.i", j="w.j"))
+
+
+@query(f""", n as (select seq_id, list(midi + cents_offset / 100 order by pos) as p, list(dur_sec order by pos) as d, median(midi + cents_offset / 100) as m, avg(log2(dur_sec)) as g from notes_li group by seq_id),
+        j as (select a.attempt_id, x.p as t, y.p as s, x.d as td, y.d as sd, y.g - x.g as tempo, cast(floor(x.m - y.m + 0.5) as int) as centre from attempts_o a join n x on x.seq_id = a.target_id join n y on y.seq_id = a.attempt_id),
+        k as (select *, centre + d as shift, 2 * abs(d) + case when d < 0 then 0 else 1 end as ord from j, (select unnest(range(-14, 15)) as d) union all select *, 99, 0, 1000 from j),
+        f as (select attempt_id, list_reduce(list({{'c': {_COST}, 'v': shift}} order by ord), lambda b, x: case when x.c < b.c - 1e-9 then x else b end).v as shift from k group by attempt_id),
+        c1 as (select j.*, f.shift::double as shift, f.shift as whole, 0.25 * least(abs(f.shift), 12) / 12.0 as each from j join f using (attempt_id)), t1 as (select *, {_ROWS.format(cell=_CELL)} as c from c1),
+        {_way("w1", "t1")},
+        r as (select attempt_id, (s[a + 1] - t[b + 1] + shift) * 100 as r from w1 join t1 using (attempt_id) where a is not null and b is not null),
+        o as (select attempt_id, case when count(*) filter (abs(r) < 70) >= 2 then greatest(-60, least(60, sum(greatest(0, 1 - abs(r) / 70) * r) / sum(greatest(0, 1 - abs(r) / 70)))) else 0.0 end as off from r group by attempt_id),
+        c2 as (select c1.* replace (shift - coalesce(off, 0.0) / 100 as shift), coalesce(off, 0.0) as off from c1 left join o using (attempt_id)), t2 as (select *, {_ROWS.format(cell=_CELL)} as c from c2),
+        {_way("w2", "t2")}
+        select attempt_id, cast(b as int) as slot, cast(a as int) as attempt_idx, case when a is null then 'missing' when b is null then 'extra' when abs(res) < 30 then 'clean' when abs(res) < 70 then 'off' else 'wrong' end as verdict,
+            case when b is null then cast(coalesce(after, -1) as int) end as after_slot, cast(whole as int) as transposition, round(res, 6) + 0.0 as residual_cents, round(c[-1][-1], 6) + 0.0 as cost
+        from (select w2.*, t2.c, t2.whole, case when a is not null and b is not null then (s[a + 1] - t[b + 1] + shift) * 100 end as res, max(b) over (partition by attempt_id order by k desc rows unbounded preceding) as after from w2 join t2 using (attempt_id) where k > 0)""", "notes_li", "attempts_o", recursive=True)
 def aligned_slots(spark, sf_dir):
     """Slots and extras of every attempt after the second pass, against the attempt's own reference."""
-    found = attempts.align_attempts(_attempted(spark, sf_dir))
+    found = alignment.align_attempts(_attempted(spark, sf_dir))
     return found.select("attempt_id", "slot", "attempt_idx", "verdict", "after_slot", "transposition", P.six(F.col("residual_cents")).alias("residual_cents"), P.six(F.col("cost")).alias("cost"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strophe.config import Analysis, Config
 from strophe.functions import draws
-from strophe.operators import analysis, attempts, melody, practice, spectrum
+from strophe.operators import alignment, analysis, attempts, melody, practice, spectrum
 from strophe.sources import documents, midi, wav
 from strophe.sources.generator import uniforms
 
@@ -128,6 +128,22 @@ def test_measures_of_bins_are_those_of_blocks(spark):
                 assert got[k][c] == pytest.approx(want[c][k], abs=1e-6), (k, c)
 
 
+def test_alignments_in_the_engine_are_those_of_the_arrays(spark):
+    draw, rows = np.random.default_rng(5), []
+    for k in range(150):
+        target = [float(x) for x in draw.integers(60, 84, int(draw.integers(0, 7)))]
+        sung = [x + float(draw.choice([0, 0, 0, 0.25, 1, 12])) for x in target if draw.random() < 0.85]
+        if draw.random() < 0.4:
+            sung.insert(int(draw.integers(0, len(sung) + 1)), float(draw.integers(60, 84)))
+        sung = [x - float(draw.choice([0, 5, 12])) for x in sung]
+        rows.append((k, sung, target, [float(x) for x in draw.choice([0.125, 0.25, 0.5, 1.0], len(sung))], [float(x) for x in draw.choice([0.125, 0.25, 0.5, 0.0], len(target))]))
+    rows += [(200, None, [76.0], None, None), (201, [76.0, 83.0], [76.0, 83.0], None, [1.0]), (202, [], [], None, None), (203, [70.0], None, None, None)]
+    table = spark.createDataFrame(rows, "attempt_id long, sung array<double>, target array<double>, sung_sec array<double>, target_sec array<double>").repartition(4)
+    six = lambda v: None if v is None else round(v, 6) + 0.0 if isinstance(v, float) else v
+    both = [sorted(([six(v) for v in r] for r in made(table).collect()), key=str) for made in (alignment.align_attempts, attempts.align_attempts)]
+    assert both[0] == both[1] and {r[5] for r in both[0]} == {"clean", "off", "wrong", "missing", "extra"}
+
+
 def test_a_changed_length_starts_over(spark):
     rows = [(1, a, a, 9, s, 60, 0.0, "wrong" if a < 3 else "clean") for a in range(5) for s in range(3 if a < 3 else 2)]
     slots = spark.createDataFrame(rows, "user_id long, attempt_id long, attempt_no int, target_id long, slot int, target_midi int, residual_cents double, verdict string")
