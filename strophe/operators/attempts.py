@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .frames import sessions
 
 # Costs of the alignment, bounds of verdicts in cents, limits of the reference.
 GAP, EARLY_GAP, MOST_SUBSTITUTION, SATURATION = 1.0, 0.001, 1.5, 2.0
@@ -176,35 +179,28 @@ def align_attempts(attempts: DataFrame) -> DataFrame:
     return attempts.select("attempt_id", "sung", "target", "sung_sec", "target_sec").mapInPandas(run, SLOTS)
 
 
-def hold_score(t_sec, midi, target: float, gap: float = 0.08, least_sec: float = 0.7, least: int = 3, settle: float = 0.25) -> dict | None:
-    """Median, wobble, drift (cents), steady seconds and frames of the longest unbroken stretch of a held note."""
-    t, m = np.asarray(t_sec, dtype=float), np.asarray(midi, dtype=float)
-    t, m = t[np.isfinite(m)], m[np.isfinite(m)]
-    if not len(t):
-        return None
-    parts = np.split(np.arange(len(t)), np.flatnonzero(np.diff(t) > gap) + 1)
-    own = max(parts, key=lambda p: t[p[-1]] - t[p[0]])
-    if len(own) < least or t[own[-1]] - t[own[0]] < least_sec:
-        return None
-    own = own[int(np.floor(settle * len(own))) :]
-    cents = (m[own] - target) * 100
-    n, q = len(own), max(1, len(own) // 4)
-    first, last = np.median(cents[:q]), np.median(cents[-q:])
-    reach = np.ptp(cents)
-    drift = float(np.clip((last - first) * n / (n - q), -reach, reach)) if n > q else 0.0
-    wobble = float(np.subtract(*np.percentile(cents, [75, 25])) / 2)
-    return {"median_cents": float(np.median(cents)), "wobble_cents": wobble, "drift_cents": drift, "steady_sec": float(t[own[-1]] - t[own[0]]), "frames": n}
-
-
-HOLDS = "median_cents double, wobble_cents double, drift_cents double, steady_sec double, frames long"
+HOLD_GAP_SEC, HOLD_SEC, HOLD_POINTS, SETTLING = 0.08, 0.7, 3, 0.25
 
 
 def score_holds(trails: DataFrame, by: str = "take_id") -> DataFrame:
-    """The hold score of each take of rows (by, t_sec, midi, target); takes without a held note give no row."""
+    """median_cents, wobble_cents, drift_cents, steady_sec, frames of the longest unbroken stretch of each take of rows
+    (by, t_sec, midi, target), the earliest on ties; takes without a held note give no row.
 
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("t_sec")
-        score = hold_score(f["t_sec"], f["midi"], float(f["target"].iloc[0]))
-        return pd.DataFrame([] if score is None else [{by: f[by].iloc[0]} | score], columns=[by, *(c.split()[0] for c in HOLDS.split(", "))])
-
-    return trails.select(by, "t_sec", "midi", "target").groupBy(by).applyInPandas(one, f"{by} {trails.schema[by].dataType.simpleString()}, {HOLDS}")
+    The stretch's first quarter is settling and does not count. Drift is the way from its first quarter to its last, held to its extent.
+    """
+    points = sessions(trails.where("midi is not null and t_sec is not null"), by, "t_sec", HOLD_GAP_SEC)
+    length = F.max("t_sec") - F.min("t_sec")
+    parts = points.groupBy(by, "session").agg(F.count(F.lit(1)).alias("n"), length.alias("length"))
+    best = parts.groupBy(by).agg(F.max_by(F.struct("session", "n", "length"), F.struct("length", -F.col("session"))).alias("b")).select(by, "b.*")
+    held = points.join(best.where((F.col("n") >= HOLD_POINTS) & (F.col("length") >= HOLD_SEC)), [by, "session"])
+    own = Window.partitionBy(by).orderBy("t_sec")
+    settled = F.floor(F.lit(SETTLING) * F.col("n"))
+    placed = held.withColumn("place", F.row_number().over(own) - settled).where("place > 0").withColumns({"cents": (F.col("midi") - F.col("target")) * 100, "n": F.col("n") - settled})
+    quarter = F.greatest(F.lit(1), F.floor(F.col("n") / 4))
+    part = lambda c: F.median(F.when(c, F.col("cents")))
+    found = placed.groupBy(by).agg(
+        F.percentile("cents", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), (F.max("t_sec") - F.min("t_sec")).alias("steady_sec"), F.max("n").alias("frames"), (F.max("cents") - F.min("cents")).alias("reach"),
+        (part(F.col("place") > F.col("n") - quarter) - part(F.col("place") <= quarter)).alias("way"), F.max(quarter).alias("quarter"),
+    )
+    drift = F.when(F.col("frames") > F.col("quarter"), F.greatest(-F.col("reach"), F.least(F.col("reach"), F.col("way") * F.col("frames") / (F.col("frames") - F.col("quarter"))))).otherwise(0.0)
+    return found.select(by, F.get("q", F.lit(1)).alias("median_cents"), ((F.get("q", F.lit(2)) - F.get("q", F.lit(0))) / 2).alias("wobble_cents"), drift.alias("drift_cents"), "steady_sec", F.col("frames").cast("long").alias("frames"))

@@ -1,4 +1,4 @@
-"""Queries over the sequential kernels: transcription, sweeps, alignments under transposition, holds, sound files."""
+"""Queries over what hangs on order: transcription, sweeps, alignments under transposition, holds, walks, sound files."""
 
 from __future__ import annotations
 

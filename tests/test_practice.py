@@ -132,7 +132,7 @@ def test_alignments_in_the_engine_are_those_of_the_arrays(spark):
     draw, rows = np.random.default_rng(5), []
     for k in range(150):
         target = [float(x) for x in draw.integers(60, 84, int(draw.integers(0, 7)))]
-        sung = [x + float(draw.choice([0, 0, 0, 0.25, 1, 12])) for x in target if draw.random() < 0.85]
+        sung = [x + float(draw.choice([0, 0, 0, 0.25, 0.5, 1, 12])) for x in target if draw.random() < 0.85]
         if draw.random() < 0.4:
             sung.insert(int(draw.integers(0, len(sung) + 1)), float(draw.integers(60, 84)))
         sung = [x - float(draw.choice([0, 5, 12])) for x in sung]

@@ -116,12 +116,12 @@ def test_alignment(spark):
     assert sorted((r.attempt_id, r.slot, r.verdict) for r in attempts.align_attempts(rows).collect()) == [(1, 0, "clean"), (1, 1, "clean"), (2, 0, "missing")]
 
 
-def test_held_note():
+def test_held_notes(spark):
     t = np.arange(200) * 0.01
-    score = attempts.hold_score(t, 80 + 0.1 + 0 * t, 80)
-    assert score["median_cents"] == pytest.approx(10) and score["wobble_cents"] == pytest.approx(0, abs=1e-9) and score["frames"] == 150
-    rising = attempts.hold_score(t, 80 + t / 10, 80)
-    assert 0 < rising["drift_cents"] <= 15
-    assert attempts.hold_score(t[:50], 80 + 0 * t[:50], 80) is None and attempts.hold_score([], [], 80) is None
     broken = np.where((np.arange(200) > 60) & (np.arange(200) < 80), np.nan, 80.0)
-    assert attempts.hold_score(t, broken, 80)["steady_sec"] < 1.3
+    takes = {"even": (t, 80.1 + 0 * t), "rising": (t, 80 + t / 10), "short": (t[:50], 80 + 0 * t[:50]), "broken": (t, broken), "few": (np.array([0.0, 0.9]), np.array([80.0, 80.0])), "tie": (np.r_[t[:80], 1 + t[:80]], np.r_[80 + 0 * t[:80], 81 + 0 * t[:80]])}
+    rows = [(k, float(a), None if np.isnan(m) else float(m), 80.0) for k, (ts, ms) in takes.items() for a, m in zip(ts, ms)]
+    got = {r.take_id: r for r in attempts.score_holds(spark.createDataFrame(rows, "take_id string, t_sec double, midi double, target double")).collect()}
+    assert set(got) == {"even", "rising", "broken", "tie"}
+    assert got["even"].median_cents == pytest.approx(10) and got["even"].wobble_cents == pytest.approx(0, abs=1e-9) and got["even"].frames == 150
+    assert 0 < got["rising"].drift_cents <= 15 and got["broken"].steady_sec < 1.3 and got["tie"].median_cents == pytest.approx(0, abs=1e-9)
