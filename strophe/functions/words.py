@@ -170,3 +170,28 @@ def hold_history(count: Column, offset: Column, wobble: Column) -> Column:
 def ramp(before: Column, after: Column) -> Column:
     """What the length of the next phrase does."""
     return F.when(after > before, "Got it — one more note next time.").when(after < before, "Let us take one back off.").otherwise("Same length again.")
+
+
+# Months as names of takes have them.
+MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+NOTE_HEADER = "  # |  start |   dur | note | midi | cents | conf |     Hz"
+
+
+def default_name(at: Column) -> Column:
+    """The name of a take recorded at a time: day, month, hour and minute."""
+    return F.concat(F.lit("Recorded "), F.dayofmonth(at).cast("string"), F.lit(" "), F.element_at(F.array(*[F.lit(m) for m in MONTHS]), F.month(at)), F.lit(", "), F.date_format(at, "HH:mm"))
+
+
+def file_name(at: Column) -> Column:
+    """A file's name that sorts by time."""
+    return F.concat(F.lit("whistle-"), F.date_format(at, "yyyyMMdd-HHmmss"), F.lit(".wav"))
+
+
+def note_line(number: Column, start: Column, length: Column, name: Column, midi: Column, cents: Column, confidence: Column, hz: Column, flags: Column) -> Column:
+    """A row of the table of notes under NOTE_HEADER; flags is an array of names."""
+    fixed = lambda x, places: F.format_string(f"%.{places}f", half_up(x * 10**places) / 10**places)
+    pad = lambda x, n: F.when(F.length(x) < n, F.lpad(x, n, " ")).otherwise(x)
+    whole = half_up(cents).cast("long")
+    signed = F.concat(F.when(whole >= 0, "+").otherwise(""), whole.cast("string"))
+    parts = [pad(number.cast("string"), 3), pad(fixed(start, 2), 6), pad(fixed(length, 2), 5), pad(name, 4), pad(midi.cast("string"), 4), pad(signed, 5), pad(fixed(confidence, 2), 4), pad(fixed(hz, 1), 6)]
+    return F.concat(F.concat_ws(" | ", *parts), F.lit(" | "), F.when(F.size(flags) > 0, F.concat(F.lit(" "), F.array_join(flags, ","))).otherwise(""))

@@ -61,6 +61,19 @@ def sliding_median(x: str, by: list[str], order: str, half: int) -> Column:
     return F.when(n > 0, (F.get(near, F.floor((n - 1) / 2).cast("int")) + F.get(near, F.floor(n / 2).cast("int"))) / 2)
 
 
+def tail_median(x: str, by: list[str], order: str, most: int) -> Column:
+    """The median of the last most values up to and with a row; nulls do not count."""
+    last = F.sort_array(F.collect_list(x).over(Window.partitionBy(*by).orderBy(order).rowsBetween(-(most - 1), 0)))
+    n = F.size(last)
+    return F.when(n > 0, (F.get(last, F.floor((n - 1) / 2).cast("int")) + F.get(last, F.floor(n / 2).cast("int"))) / 2)
+
+
+def recently(flag: str, at: str, within: float) -> Column:
+    """Whether the flag was true at a frame, or at one no longer than within before it."""
+    last = F.last(F.when(F.col(flag), F.col(at)), ignorenulls=True).over(take_order().rowsBetween(Window.unboundedPreceding, 0))
+    return F.coalesce(F.col(at) - last <= within, F.lit(False))
+
+
 def slope(x: str, period: float) -> Column:
     """Central difference a second, one-sided at a take's ends."""
     before, after = F.lag(x).over(take_order()), F.lead(x).over(take_order())

@@ -211,3 +211,19 @@ def echo_phrases(weights: DataFrame, lengths: DataFrame, low: int = DRILL_LOW, h
     ordered = F.array_sort(F.collect_list(F.struct(F.col("step").cast("int").alias("step"), F.col("weight").cast("double").alias("weight"))))
     own = weights.groupBy("user_id").agg(ordered.alias("weights")).join(lengths, "user_id")
     return own.select("user_id", F.posexplode(phrase(F.col("weights"), F.col("user_id"), F.col("length"), low, high)).alias("pos", "midi"))
+
+
+def hold_references(seed: Column, count: int, low: Column, high: Column) -> Column:
+    """Notes to hold, one after the other, a semitone inside the register and never the same twice running.
+
+    A drawn note that repeats the one before is moved up by one, or down at the top.
+    """
+    bottom, top = F.ceil(low).cast("int") + 1, F.floor(high).cast("int") - 1
+
+    def step(notes: Column, k: Column) -> Column:
+        drawn = bottom + F.floor(uniform(seed, k) * (top - bottom + 1)).cast("int")
+        before = F.get(notes, F.size(notes) - 1)
+        return F.concat(notes, F.transform(F.array(drawn), lambda d: F.when(~d.eqNullSafe(before), d).when(d + 1 <= top, d + 1).otherwise(d - 1)))
+
+    middle_note = half_up((low + high) / 2).cast("int")
+    return F.when(top > bottom, F.aggregate(F.sequence(F.lit(1), F.lit(count)), F.array().cast("array<int>"), step)).otherwise(F.transform(F.sequence(F.lit(1), F.lit(count)), lambda k: middle_note))
