@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import Analysis, Segment
-from ..operators import analysis, drafts, movement, spectrum, voicing
+from ..config import Analysis, Config, Segment
+from ..operators import analysis, drafts, merging, movement, spectrum, voicing
 from .queries import _TONAL, _frames, query
 
 # evidence near each frame by distance: what lies within four frames, or the nearest ones up to the quota
@@ -164,3 +164,71 @@ def spectral_measures(spark, sf_dir):
     found = spectrum.measures(spectrum.bins(blocks, plan, SMALL.window), plan, RATE)
     rounded = {c: F.round(c, 6 if c == "clarity" else 4) + F.lit(0.0) for c in found.columns if c not in ("take_id", "clipped")}
     return found.withColumns(rounded)
+
+
+# notes to join: spans in blocks of eight frames, of few pitches; SQL goes through them one after the other
+_PLACED = "list_aggregate(list_transform(list_filter(range({a}, {b} + 1), lambda i: x[i + 1] is not null and i >= {s} and (({b} - {a}) * 1000 / 64.0::double <= 120 or i / 64.0::double >= {a} / 64.0::double + 0.25 * ({b} - {a}) / 64.0::double)), lambda i: x[i + 1]), 'median')"
+_LOUD = "list_aggregate(lv[{a} + 1 : {b} + 1], 'median')"
+
+
+def _blocks_sql(x: str, size: str) -> str:
+    return f"""fr as (select take_id, list(case when frame_idx % 8 < {size} then {x} end order by frame_idx) as x, list(band_rms_db / 2 - 28 order by frame_idx) as lv from frames_ev group by take_id),
+        bl as (select take_id, min(frame_idx) as a, max(frame_idx) as b from frames_ev where frame_idx % 8 < {size} group by take_id, frame_idx // 8),
+        sp as (select take_id, list({{'a': a, 'b': b, 's': a, 'p': {_PLACED.format(a="a", b="b", s="a")}}} order by a) as spans from bl join fr using (take_id) group by take_id)"""
+
+
+def _blocks(spark, sf_dir, x: str, size: str):
+    """The same spans and their frames, measured."""
+    div = lambda e: e.replace("//", "div")
+    own = _frames(spark, sf_dir).withColumn("in", F.expr(f"frame_idx % 8 < {div(size)}"))
+    ready = own.select(
+        "take_id", "frame_idx", (F.col("frame_idx") / 64).alias("t_sec"), F.when(F.col("in"), F.expr(div(x))).cast("double").alias("smooth"), F.col("in").alias("voiced"), F.lit(False).alias("transitional"),
+        F.lit(0.9).alias("clarity"), F.lit(30.0).alias("snr_db"), (F.col("band_rms_db") / 2 - 28).alias("band_rms_db"), "clipped", F.lit(None).cast("double").alias("floor_db"),
+    )
+    spans = own.where("in").groupBy("take_id", F.expr("frame_idx div 8")).agg(F.min("frame_idx").alias("start_idx"), F.max("frame_idx").alias("end_idx"))
+    found = spans.select("take_id", "start_idx", "end_idx", F.col("start_idx").alias("settled_idx"), F.lit(False).alias("glided"), F.lit(0.0).alias("reach"))
+    ready = merging.kept(ready, "frames")
+    return merging.measure(found, ready, Config()), ready
+
+
+_SAME, _SIX = "72 + (frame_idx // 32) % 2 + (event_id * 37) % 21 / cast(32 as double)", "case when (frame_idx // 8) % 5 = 4 then 0 else 6 end"
+_BETWEEN = "range(l.b + 1, r.a)"
+_JOINS = f"""{_blocks_sql(_SAME, _SIX)},
+        z as (select take_id, spans, 1 as k, false as dirty, false as fin from sp
+              union all
+              select take_id, case when ok then list_concat(list_append(spans[1 : k - 1], {{'a': l.a, 'b': r.b, 's': l.s, 'p': {_PLACED.format(a="l.a", b="r.b", s="l.s")}}}), spans[k + 2 :]) else spans end,
+                     case when k >= len(spans) then 1 when ok then k else k + 1 end, case when k >= len(spans) then false else dirty or ok end, k >= len(spans) and not dirty
+              from (select *, coalesce(k < len(spans) and floor(l.p + 0.5) = floor(r.p + 0.5) and len(list_filter({_BETWEEN}, lambda i: lv[i + 1] < -70)) = 0
+                            and ((r.a - l.b - 1) * 1000 / 64.0::double <= 60 or ((r.a - l.b - 1) * 1000 / 64.0::double <= 400
+                                 and len(list_filter({_BETWEEN}, lambda i: lv[i + 1] >= least({_LOUD.format(a="l.a", b="l.b")}, {_LOUD.format(a="r.a", b="r.b")}))) >= 0.8 * (r.a - l.b - 1))), false) as ok
+                    from (select z.*, x, lv, spans[k] as l, spans[k + 1] as r from z join fr using (take_id) where not fin)))"""
+
+
+@query(f", {_JOINS} select take_id, cast(n.a as int) as start_idx, cast(n.b as int) as end_idx, round(n.p, 6) + 0.0 as pitch from (select take_id, unnest(spans) as n from z where fin)", "frames_ev", recursive=True)
+def joined_dropouts(spark, sf_dir):
+    """Spans of one rounded pitch that only dropouts part, joined to the fixpoint."""
+    spans, ready = _blocks(spark, sf_dir, _SAME, _SIX)
+    found = merging.join_to_fixpoint(spans, ready, Config(), PERIOD, merging.dropouts)
+    return found.select("take_id", "start_idx", "end_idx", (F.round("pitch", 6) + 0.0).alias("pitch"))
+
+
+_MANY, _SIZES = "72 + ((frame_idx // 8) * 5 + take_id) % 4 / cast(2 as double) + (event_id * 37) % 8 / cast(64 as double)", "1 + ((frame_idx // 8) * (1 + take_id % 3) + take_id) % 8"
+_SHORTS = f"""{_blocks_sql(_MANY, _SIZES)},
+        z as (select take_id, spans, false as fin from sp
+              union all
+              select take_id, case when fin then spans when way is null then list_concat(spans[1 : k - 1], spans[k + 1 :])
+                     else list_concat(list_append(spans[1 : j - 1], {{'a': spans[j].a, 'b': spans[j + 1].b, 's': spans[j].s, 'p': {_PLACED.format(a="spans[j].a", b="spans[j + 1].b", s="spans[j].s")}}}), spans[j + 2 :]) end, fin
+              from (select *, case when way = 0 then k - 1 else k end as j from (select *, len(spans) = 0 or (spans[k].b - spans[k].a + 1) * 1000 / 64.0::double >= 80 as fin,
+                        case when lo and (not hi or ld <= hd) then 0 when hi then 1 end as way
+                    from (select *, coalesce(k > 1 and ld <= 1.2 and (lg <= 0 or (lg * 1000 / 64.0::double <= 60 and len(list_filter(range(spans[k - 1].b + 1, spans[k].a), lambda i: lv[i + 1] < -70)) = 0)), false) as lo,
+                                 coalesce(k < len(spans) and hd <= 1.2 and (hg <= 0 or (hg * 1000 / 64.0::double <= 60 and len(list_filter(range(spans[k].b + 1, spans[k + 1].a), lambda i: lv[i + 1] < -70)) = 0)), false) as hi
+                          from (select *, case when k > 1 then abs(spans[k].p - spans[k - 1].p) end as ld, abs(spans[k].p - spans[k + 1].p) as hd, case when k > 1 then spans[k].a - spans[k - 1].b - 1 end as lg, spans[k + 1].a - spans[k].b - 1 as hg
+                                from (select z.take_id, z.spans, x, lv, list_position(list_transform(spans, lambda q: q.b - q.a), list_min(list_transform(spans, lambda q: q.b - q.a))) as k from z join fr using (take_id) where not fin))))))"""
+
+
+@query(f", {_SHORTS} select take_id, cast(n.a as int) as start_idx, cast(n.b as int) as end_idx, round(n.p, 6) + 0.0 as pitch from (select take_id, unnest(spans) as n from z where fin)", "frames_ev", recursive=True)
+def resolved_shorts(spark, sf_dir):
+    """Spans without short ones, the shortest first; SQL takes one a step, the plan all least ones of a round."""
+    spans, ready = _blocks(spark, sf_dir, _MANY, _SIZES)
+    found = merging.resolve_short(spans, ready, Config(), PERIOD)
+    return found.select("take_id", "start_idx", "end_idx", (F.round("pitch", 6) + 0.0).alias("pitch"))
