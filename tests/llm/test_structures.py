@@ -206,7 +206,7 @@ def test_near_documents_of_a_table(spark):
 
 def test_circle_is_one_permutation_under_shifts():
     circle = minhash._circle()
-    assert len(set(circle[:, 0].tolist())) == minhash.SPACE and (circle[-1, 1:] == circle[0, :-1]).all() and (circle[5, 1:] == circle[6, :-1]).all()
+    assert len(set(circle[:, 0].tolist())) == minhash.SPACE and (circle[minhash.SPACE - 1, 1:] == circle[0, :-1]).all() and (circle[5, 1:] == circle[6, :-1]).all()
     draw = np.random.default_rng(1)
     agree = []
     for _ in range(200):
