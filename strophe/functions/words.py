@@ -172,7 +172,8 @@ def ramp(before: Column, after: Column) -> Column:
     return F.when(after > before, "Got it — one more note next time.").when(after < before, "Let us take one back off.").otherwise("Same length again.")
 
 
-# Months as names of takes have them.
+# Months as names of takes have them, the first part of a file's name, the head of the table of notes.
+FILE_START = "whistle-"
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 NOTE_HEADER = "  # |  start |   dur | note | midi | cents | conf |     Hz"
 
@@ -184,7 +185,7 @@ def default_name(at: Column) -> Column:
 
 def file_name(at: Column) -> Column:
     """A file's name that sorts by time."""
-    return F.concat(F.lit("whistle-"), F.date_format(at, "yyyyMMdd-HHmmss"), F.lit(".wav"))
+    return F.concat(F.lit(FILE_START), F.date_format(at, "yyyyMMdd-HHmmss"), F.lit(".wav"))
 
 
 def note_line(number: Column, start: Column, length: Column, name: Column, midi: Column, cents: Column, confidence: Column, hz: Column, flags: Column) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_MADE: list[tuple[SparkSession, str]] = []
 #: Later than any row; nothing is open after it.
 END_OF_TIME = "9000-01-01 00:00:00"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -22,7 +24,20 @@ def shared_path(spark: SparkSession, tag: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="strophe-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/strophe/{tag}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/strophe/{tag}-{uuid.uuid4().hex}"
+    _MADE.append((spark, path))
+    return path
+
+
+@atexit.register
+def _clean() -> None:
+    """Deletes what was written on the way when the driver ends; a driver that is lost leaves it to the folder's owner."""
+    for spark, path in _MADE:
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session has ended
+            return
 
 
 def as_stream(table: DataFrame, files: int = 1, tag: str = "source", order: str | None = None) -> DataFrame:
