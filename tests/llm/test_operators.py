@@ -1,6 +1,7 @@
 """The ten operators against brute force, on hard rows and on the smallest tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from itertools import combinations
@@ -158,8 +159,9 @@ def longest_truth(doc_id, text, items, size=10):
 def test_decontamination(spark, docs, none, monkeypatch):
     bench = spark.createDataFrame(ITEMS, "item_id string, text string")
     want = sorted(((r.doc_id, *contamination(r.text, ITEMS)) for r in docs.collect()), key=str)
-    for bound in (1_000_000, 5):  # one block, and many
+    for bound, at_once in ((1_000_000, 8), (5, 8), (5, 1)):  # one block, many, and one a round
         monkeypatch.setattr(decontam, "TEST_WORDS", bound)
+        monkeypatch.setattr(decontam, "ROUND_BLOCKS", at_once)
         got = sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in decontam.detect(docs, bench).collect()), key=str)
         assert got == want
     kept = decontam.clean(docs, bench)
@@ -169,6 +171,62 @@ def test_decontamination(spark, docs, none, monkeypatch):
     assert (5, "7", 1, 0, 12) in found and (6, "7", 1, 0, 12) in found
     assert decontam.detect(none, bench).count() == 0
     assert decontam.detect(docs, bench.where("false")).where("contaminated").count() == 0
+    clashing = docs.selectExpr("*", "1 as TEXT", "2 as `Doc_Id`", "3 as hit")
+    assert decontam.detect(clashing, bench).count() == docs.count()
+    assert decontam.clean(clashing, bench).columns == clashing.columns
+
+
+def pairs_found(ids, block):
+    return sorted(pair for part in decontam.longest(ids, block) for pair in zip(*(x.tolist() for x in part)))
+
+
+def test_longest_matches_of_texts_that_repeat_words(monkeypatch):
+    rng = random.Random(7)
+    for _ in range(150):
+        monkeypatch.setattr(decontam, "PAIRS", rng.choice([1, 7, 1 << 20]))
+        monkeypatch.setattr(decontam, "STEPS", rng.choice([0, 1, 64]))
+        letters = [b"a", b"b", b"c"][: rng.choice([1, 2, 3])]
+        block = decontam.TestBlock([(str(i), [rng.choice(letters) for _ in range(rng.choice([0, 2, 5, 12, 30]))]) for i in range(3)], 4)
+        ids, _ = decontam._laid_out([block.number([rng.choice([*letters, b"z"]) for _ in range(rng.randint(0, 40))]) for _ in range(3)])
+        want = []
+        for place in range(1, len(ids)):
+            for test, least in zip(block.at.tolist(), block.size.tolist()):
+                n = 0
+                while ids[place + n] == block.ids[test + n] and ids[place + n] != 0:
+                    n += 1
+                if n >= least and (ids[place - 1] != block.ids[test - 1] or ids[place - 1] == 0):
+                    want.append((place, test, n))
+        assert pairs_found(ids, block) == sorted(want)
+
+
+def test_equal_words_take_memory_in_proportion():
+    import tracemalloc
+
+    block = decontam.TestBlock([("i", [b"a"] * 2_000)], 10)
+    ids, _ = decontam._laid_out([block.number([b"a"] * 20_000)])
+    tracemalloc.start()
+    found = pairs_found(ids, block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # an item that begins anywhere, or a document that begins inside the item
+    assert len(found) == 20_000 - 9 + 2_000 - 9 - 1 and max(n for _, _, n in found) == 2_000
+    assert peak < 60_000_000
+
+
+def test_suffixes_left_out_end_no_search():
+    """The array of the suffixes that begin a window finds what the array of all of them finds."""
+    rng = random.Random(9)
+    words = [b"w%d" % i for i in range(6)]
+    for _ in range(40):
+        block = decontam.TestBlock([(str(i), [rng.choice(words[:4]) for _ in range(rng.choice([1, 3, 9]))]) for i in range(3)], 5)
+        ids, _ = decontam._laid_out([block.number([rng.choice(words) for _ in range(60)]) for _ in range(3)])
+        some, every = decontam.Shard(ids, block), decontam.Shard(ids, block)
+        at = np.arange(len(ids))
+        columns = decontam._columns(ids, at, block.words, block.words, block.bits)
+        order = np.lexsort(columns[::-1])
+        every.suffixes, every.columns = at[order], [c[order] for c in columns]
+        found = [set(zip(*(x.tolist() for x in shard.search(block)))) for shard in (some, every)]
+        assert found[0] == {(p, w) for p, w in found[1] if ids[p]} and len(some.suffixes) <= len(every.suffixes)
 
 
 def test_intervals_and_captures(spark):
