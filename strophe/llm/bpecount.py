@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held
+from .common import held, picked
 from .tokens import MEMO_LENGTH, MEMO_PIECES, _LETTER_SIGN, apart, distinct_pieces, groups
 
 _NONE = np.iinfo(np.int32).max
@@ -157,8 +157,8 @@ def counter(path: str) -> Counter:
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: its id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit)."""
-    kind = docs.schema[id_col].dataType
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = picked(docs, id=id_col, text=text_col)
+    kind = rows.schema["id"].dataType
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(tokenizer)
@@ -167,5 +167,5 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
             size = pc.binary_length(pc.fill_null(b.column(1), "")).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(counts)], ["id", "n_bytes", "n_tokens"])
 
-    out = picked.mapInArrow(run, f"id {kind.simpleString()}, n_bytes long, n_tokens long")
+    out = rows.mapInArrow(run, f"id {kind.simpleString()}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

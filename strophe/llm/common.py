@@ -108,16 +108,15 @@ def by_place(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFra
     return work(docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])).toDF(*docs.columns)
 
 
-def picked(df: DataFrame, **names: str) -> DataFrame:
-    """The columns that names gives, under its keys: by exact name, whatever other columns are called.
+def place_of(df: DataFrame, name: str) -> int:
+    """Which column has this name: exactly, or, if none has, without regard to case, as Spark looks it up."""
+    found = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} columns are named {name}")
+    return found[0]
 
-    A name that no column has exactly is looked up without regard to case, as Spark does.
-    """
-    columns = df.columns
-    places = {}
-    for new, name in names.items():
-        found = [i for i, c in enumerate(columns) if c == name] or [i for i, c in enumerate(columns) if c.lower() == name.lower()]
-        if len(found) != 1:
-            raise ValueError(f"{len(found)} columns are named {name}")
-        places[new] = found[0]
-    return df.toDF(*[f"c{i}" for i in range(len(columns))]).select(*[F.col(f"c{i}").alias(new) for new, i in places.items()])
+
+def picked(df: DataFrame, **names: str) -> DataFrame:
+    """The columns that names gives, under its keys, whatever other columns are called."""
+    placed = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return placed.select(*[F.col(f"c{place_of(df, name)}").alias(new) for new, name in names.items()])

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_place, held, quoted
+from .common import by_place, held, picked
 
 SAMPLE = 300
 PASSAGE = 1000
@@ -55,7 +55,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """The dictionary of each language of the labelled rows."""
-    rows = labelled.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"), F.col(quoted(lang_col)).alias("lang")).where("id is not null and text is not null and lang is not null")
+    rows = picked(labelled, id=id_col, text=text_col, lang=lang_col).where("id is not null and text is not null and lang is not null")
     counts = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
@@ -121,7 +121,8 @@ def _classifier(shared) -> Classifier:
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, held_out, lang_pred, score, accepted of each document."""
-    kind = docs.schema[id_col].dataType
+    rows = picked(docs, id=id_col, text=text_col)
+    kind = rows.schema["id"].dataType
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # at most MOST_LANGUAGES * DICTIONARY bytes
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +132,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float =
             columns = [pa.array([g[i] for g in got], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["id", "lang_pred", "score", "accepted"])
 
-    out = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, lang_pred string, score double, accepted boolean")
+    out = rows.mapInArrow(run, f"id {kind.simpleString()}, lang_pred string, score double, accepted boolean")
     return out.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "lang_pred", "score", "accepted")
 
 

@@ -23,8 +23,7 @@ up. Texts are not shuffled to find lines; those of candidates are picked by a bi
 
 Null texts have no lines and stay null; blank lines always stay, and so do their places. Rows with a null
 id count as smallest and null ids equal each other; rows that repeat an id and a text keep or lose the same
-lines. An empty table gives an empty table. ``dedup_lines`` keeps all other columns; names that begin with
-``__strophe_`` are reserved.
+lines. An empty table gives an empty table. ``dedup_lines`` keeps all other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +34,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, quoted
+from .common import by_place, discard, materialize, picked, place_of
 from .components import components
 
 SHINGLE = 5  # one changed character inside a line of 49 or more, or a run of two in 58 or more, still links
@@ -59,8 +58,7 @@ BANDS = [[[x * GRID + (slope * x + t) % GRID for x in range(GRID)] for t in rang
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, th (hash of the document's text), n (line number from 0), line, for lines that are not blank."""
-    picked = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
-    every = picked.select("id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    every = picked(docs, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
     return every.where(F.length(F.trim("line", F.lit(BLANK))) > 0)
 
 
@@ -244,8 +242,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_lines, n_removed, removed (line numbers from 0, comma-joined) of each document."""
     gone = removed_lines(docs, id_col, text_col).select(F.col("id").alias("gid"), F.col("th").alias("gth"), "gone")
-    text = F.col(quoted(text_col))
-    own = docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(text).alias("th"), F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    own = picked(docs, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("th"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
     met = own.join(gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth")), "left")
     numbers = F.coalesce("gone", F.array().cast("array<int>"))
     return met.select(F.col("id").alias(id_col), F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.size(numbers).cast("long").alias("n_removed"), F.array_join(numbers.cast("array<string>"), ",").alias("removed"))
@@ -253,9 +250,20 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the removed lines; all other columns as they are."""
-    gone = removed_lines(docs, id_col, text_col).select(F.col("id").alias("__strophe_id"), F.col("th").alias("__strophe_th"), F.col("gone").alias("__strophe_gone"))
-    id_, own = F.col(quoted(id_col)), F.col(quoted(text_col))
-    met = docs.join(gone, id_.eqNullSafe(F.col("__strophe_id")) & (F.xxhash64(own) == F.col("__strophe_th")), "left")
-    rebuilt = F.array_join(F.filter(F.split(own, "\n"), lambda line, n: ~F.array_contains(F.col("__strophe_gone"), n)), "\n")
-    text = F.when(F.col("__strophe_gone").isNull(), own).otherwise(rebuilt)
-    return met.select(*[text.alias(c) if c == text_col else F.col(quoted(c)) for c in docs.columns])
+    gone = removed_lines(docs, id_col, text_col).select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th"), "gone")
+    at = place_of(docs, text_col)
+    id_, own = F.col(f"c{place_of(docs, id_col)}"), F.col(f"c{at}")
+    lines = F.split(own, "\n")
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+
+    def rebuilt(x: Column) -> Column:
+        return F.array_join(F.transform(x.getField("places"), lambda n: F.get(x.getField("lines"), n)), "\n")
+
+    # the lambda names the two arrays, so each is made once and a line is found by its place
+    text = F.when(F.col("gone").isNull(), own).otherwise(F.element_at(F.transform(F.array(F.struct(lines.alias("lines"), places.alias("places"))), rebuilt), 1))
+
+    def without(rows: DataFrame) -> DataFrame:
+        met = rows.join(gone, id_.eqNullSafe(F.col("gone_id")) & (F.xxhash64(own) == F.col("gone_th")), "left")
+        return met.select(*[text.alias(c) if i == at else F.col(c) for i, c in enumerate(rows.columns)])
+
+    return by_place(docs, without)

@@ -21,14 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, picked
 from .tokens import encoder
 
 
 def encode_in_order(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, part (partition), at (tokens before it there), n, ids (little-endian, 4 bytes each)."""
-    kind = docs.schema[id_col].dataType
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = picked(docs, id=id_col, text=text_col)
+    kind = rows.schema["id"].dataType
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
@@ -44,7 +44,7 @@ def encode_in_order(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
                 yield pa.RecordBatch.from_arrays(columns, ["id", "part", "at", "n", "ids"])
                 seen, at = seen + len(sizes), at + int(cuts[-1])
 
-    return picked.mapInArrow(run, f"id {kind.simpleString()}, part long, at long, n long, ids binary")
+    return rows.mapInArrow(run, f"id {kind.simpleString()}, part long, at long, n long, ids binary")
 
 
 def place(encoded: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, picked
 
 SPACES = "[\\x20\\x09-\\x0D]+"
 WINDOW = 8
@@ -42,8 +42,7 @@ FEATURES = {
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each document."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), text.alias("t"))
+    base = picked(docs, id=id_col, text=text_col).select("id", F.coalesce("text", F.lit("")).alias("t"))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     measured = base.select(
         "id",
@@ -143,13 +142,13 @@ def cover(cells: Sequence[tuple], cuts: dict[str, list[float]]) -> list[Rule]:
         if p < SUPPORT or p < PRECISION * (p + q):
             break
         rules.append(Rule(tuple(terms), p, q))
-        rest = [r for r in rest if r not in held]
+        rest = [r for r in rest if not all(inside(r, t) for t in terms)]
     return rules
 
 
 def learn(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> list[Rule]:
     """A decision list for label 0 from statistics and labels."""
-    kinds = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id is not null and label is not null")
+    kinds = picked(labels, id=id_col, label=label_col).where("id is not null and label is not null")
     rows = measured.where("n_words > 0").join(kinds, "id").select("id", "label", *[F.expr(e).alias(f) for f, e in FEATURES.items()])
     rows, _ = materialize(rows, "labelled")
     at = [i / BINS for i in range(1, BINS)]

@@ -26,10 +26,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, quoted
+from .common import by_place, materialize, picked, place_of
 from .components import components
 
 SHINGLE = 4
@@ -74,16 +74,15 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, th (a hash of the text), fp (the fingerprint's bits as a signed number), one row a document."""
-    kind = docs.schema[id_col].dataType
+    rows = picked(docs, id=id_col, text=text_col)
+    kind = rows.schema["id"].dataType
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bits = [fingerprint(t.as_py()) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(bits, np.uint64).view(np.int64))], ["id", "th", "fp"])
 
-    text = F.col(quoted(text_col))
-    picked = docs.select(F.col(quoted(id_col)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    return picked.mapInArrow(run, f"id {kind.simpleString()}, th long, fp long")
+    return rows.select("id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"id {kind.simpleString()}, th long, fp long")
 
 
 def _posting_keys(fp: Column) -> Column:
@@ -126,7 +125,8 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     if distance > 4:
         raise ValueError("the triples of positions are made for distances up to 4")
     postings = nodes.select(F.explode(_posting_keys(F.col("fp"))).alias("key"), "fp")
-    sized = postings.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1")
+    # counted before the shuffle, so that a hot posting is in no single task
+    sized = postings.join(postings.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "key")
     # blocks of a large posting: each member goes to every pair that its own block is in
     blocks = sized.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
     pairs = blocks.select("key", "fp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
@@ -168,8 +168,12 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id",
     marked, _ = materialize(fingerprints(docs, id_col, text_col), "prints")
     named = marked.groupBy("id", "th", "fp").agg(F.count(F.lit(1)).alias("n")).join(_rooted(marked, distance).select("fp", "root"), "fp")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "th", "n")
-    chosen, _ = materialize(named.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.id").alias("__strophe_id"), F.col("k.th").alias("__strophe_th"), F.col("k.n").alias("__strophe_n")), "chosen")
-    own = F.col(quoted(id_col)).eqNullSafe(F.col("__strophe_id")) & (F.xxhash64(F.col(quoted(text_col))) == F.col("__strophe_th"))
-    met = docs.join(chosen, own)
-    again = met.where("__strophe_n > 1").dropDuplicates(["__strophe_id", "__strophe_th"])
-    return met.where("__strophe_n = 1").union(again).select(*[F.col(quoted(c)) for c in docs.columns])
+    chosen, _ = materialize(named.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.id").alias("chosen_id"), F.col("k.th").alias("chosen_th"), F.col("k.n").alias("chosen_n")), "chosen")
+    id_, text = (f"c{place_of(docs, c)}" for c in (id_col, text_col))
+
+    def stay(rows: DataFrame) -> DataFrame:
+        met = rows.join(chosen, F.col(id_).eqNullSafe(F.col("chosen_id")) & (F.xxhash64(text) == F.col("chosen_th")))
+        again = met.where("chosen_n > 1").dropDuplicates(["chosen_id", "chosen_th"])
+        return met.where("chosen_n = 1").union(again).select(*rows.columns)
+
+    return by_place(docs, stay)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import plan_bytes, scratch_path
+from .common import picked, plan_bytes, scratch_path
 from .tokens import encoder
 
 BLOCK = 64 << 10
@@ -177,12 +177,12 @@ class Shard:
 
 def write_token_tables(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> None:
     """Encodes whole texts and writes shards in ascending order of the identifier below path."""
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    size = plan_bytes(picked)
+    rows = picked(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
+    size = plan_bytes(rows)
     if size > 1 << 56:  # not files, so Catalyst has no figure; measure
-        size = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = size // shard_bytes + 1
-    dealt = picked.repartitionByRange(shards, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    dealt = rows.repartitionByRange(shards, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import picked, scratch_path
 
 #: RFC 4648 base32.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -44,7 +44,7 @@ def _header(kind: Column) -> Column:
 
 
 def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
+    rows = picked(pages, page_id="page_id", url="url", html="html").select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     hashed = rows.withColumns({"digest": F.sha2("payload", 256), "sha1_hex": F.sha1("payload"), "bytes": F.length("payload").cast("long")})
     facts = F.struct("bytes", "sha1_hex")
     stored = hashed.groupBy("digest").agg(F.first("payload").alias("payload"), F.min("page_id").alias("first"), F.min(facts).alias("low"), F.max(facts).alias("high"))

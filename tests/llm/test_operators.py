@@ -236,6 +236,11 @@ def test_intervals_and_captures(spark):
     hit = lambda i, t, n: (i, t, bool(n), 1 if n else 0, n)
     assert got == sorted([hit(1, 10, "a"), hit(1, 10, "a"), hit(2, 20, ""), hit(3, 31, "a"), hit(4, 9, "b"), hit(5, 9, ""), hit(6, 9, ""), hit(None, 15, ""), hit(7, None, "")], key=str)
     assert urlfilter.evaluate(pages, entries.where("false")).where("blocked").count() == 0
+    deep = spark.createDataFrame([("p", "HTTPS://*.Shop.example:443/a/b/?x", "add", 0), ("q", "shop.example/a/b/c", "add", 0), ("r", "example./", "add", 7), ("s", "shop.example//b", "add", 0), ("t", "  ", "add", 0)], "list_id string, pattern string, action string, at long")
+    urls = ["http://shop.example/a/b", "http://m.shop.example/a/b/", "http://shop.example/a/b/c/d?e", "http://shop.example/a/bc", "http://shop.example/A/b", "http://shop.example//b", "http://" + "x." * 5_000 + "shop.example/" + "a/" * 5_000, "http://shop.example/a/b#c/d", "/a/b"]
+    at = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "5L as fetched", "0 as URL", "1 as Page_Id")
+    assert {r.page_id: r.lists for r in urlfilter.evaluate(at, deep).collect()} == {0: "p", 1: "p", 2: "p,q", 3: "", 4: "", 5: "s", 6: "", 7: "p", 8: ""}
+    assert {r.page_id: r.lists for r in urlfilter.evaluate(at.drop("fetched").withColumn("fetched", F.lit(7)), deep).collect()} == {0: "p,r", 1: "p,r", 2: "p,q,r", 3: "r", 4: "r", 5: "r,s", 6: "r", 7: "p,r", 8: ""}
     assert urlfilter.evaluate(pages.where("false"), entries).count() == 0
 
 
@@ -485,6 +490,35 @@ def test_language(spark, docs, none):
     assert langid.fit(none) == {}
 
 
+def test_columns_are_found_whatever_others_are_called(spark, docs, tmp_path):
+    """A column that differs from a named one in case only is another column, and names may hold dots."""
+    word, byte = (public_tokenizers.path(f"{n}.json") for n in ("word_bpe_49k", "byte_bpe_50k"))
+    clashing = docs.selectExpr("*", "1 as TEXT", "2 as Doc_Id", "3 as `a.b`", "4 as chosen_id", "5 as gone")
+    dotted = docs.select(F.col("doc_id").alias("the.id"), F.col("text").alias("the.text"))
+    names = {"id_col": "the.id", "text_col": "the.text"}
+    labels = spark.createDataFrame([(1, 0), (None, 1), (1, 0)], "doc_id long, quality int").selectExpr("*", "'x' as Doc_id")
+
+    def rows(df):
+        return sorted((tuple(r) for r in df.collect()), key=str)
+
+    for work in (
+        lambda d, **n: bpecount.count_tokens(d, byte, **n),
+        lambda d, **n: packing.pack(d, word, **n),
+        lambda d, **n: simhash.fingerprints(d, **n),
+        lambda d, **n: linededup.lines_of(d, **n),
+        lambda d, **n: rules.statistics(d, **n),
+        lambda d, **n: langid.predict(d, {}, **n).drop("the.id", "doc_id"),
+    ):
+        plain = rows(work(docs))
+        assert rows(work(clashing)) == plain and rows(work(dotted, **names)) == plain
+    assert rows(rules.judge(clashing, labels)) == rows(rules.judge(docs, labels.toDF("doc_id", "quality", "other")))
+    plain = rows(sstable.token_tables(docs, byte))
+    assert rows(sstable.token_tables(clashing, byte)) == plain
+    for keep in (simhash.keep_one, linededup.dedup_lines):
+        kept = keep(clashing)
+        assert kept.columns == clashing.columns and rows(kept.toDF(*[f"c{i}" for i in range(len(kept.columns))]).select(*[f"c{i}" for i in range(len(docs.columns))])) == rows(keep(docs))
+
+
 def test_queries_are_named(spark):
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
