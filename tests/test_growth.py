@@ -47,3 +47,9 @@ def test_alignments_hold_nulls_and_unequal_lengths_side_by_side(spark):
     finally:
         attempts._table = fill
     assert len(calls) <= 3
+
+
+def test_aligned_slots_come_from_arrays(spark):
+    """The plan has one Arrow step and no fold by expressions, which took too long at size."""
+    plan = QUERIES["aligned_slots"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "aggregate(shifts" not in plan
