@@ -53,3 +53,43 @@ def test_aligned_slots_come_from_arrays(spark):
     """The plan has one Arrow step and no fold by expressions, which took too long at size."""
     plan = QUERIES["aligned_slots"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "aggregate(shifts" not in plan
+
+
+def test_folds_touch_their_state_once_a_block(spark):
+    """Round trips to the state server are as many as blocks of keys and micro-batches, not as attempts."""
+    import json
+
+    import pandas as pd
+
+    from strophe.streaming import folds
+
+    class Value:
+        now, trips = None, 0
+
+        def exists(self):
+            return self.now is not None
+
+        def get(self):
+            self.trips += 1
+            return self.now
+
+        def update(self, value):
+            self.trips += 1
+            self.now = value
+
+    class Handle:
+        value = Value()
+
+        def getValueState(self, name, schema):
+            return self.value
+
+    fold, handle = folds.IntervalLedger(), Handle()
+    fold.init(handle)
+    slots = [{"slot": k, "midi": 60 + k, "cents": 10.0, "verdict": "clean"} for k in range(3)]
+    lines = [(user, json.dumps({"attempt_no": n, "slots": slots})) for n in (3, 1, 0, 2) for user in range(folds.BLOCK)]
+    out = []
+    for part in (lines[:100], lines[100:], lines[:64]):
+        out += list(fold.handleInputRows((0,), iter([pd.DataFrame(part, columns=["key", "row"])]), None))
+    last = pd.concat(out).sort_values("version").groupby("user_id").last()
+    assert len(last) == folds.BLOCK and set(last["clean"]) == {8} and set(last["version"]) == {4}
+    assert handle.value.trips <= 5
