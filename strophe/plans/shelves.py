@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import practice, shelf
+from ..operators.merging import kept
 from ..sources.blocks import local_path
 from ..sources.library import read_library, write_library
 from ..streaming.run import shared_path
-from .practice import _EACH, _HISTORY, _SHORT, _nine, _shortened, _slots
+from .practice import _EACH, _HISTORY, _SHORT, _nine, _shorter, _slots
 from .queries import _frames, query
 
 _HOLDS = """, h as (select take_id as user_id, frame_idx as place, clarity * 200 - 100 as median, snr_db - 10 as wobble, peak_to_second_db * 2 as drift from frames_ev),
@@ -17,10 +18,15 @@ _HOLDS = """, h as (select take_id as user_id, frame_idx as place, clarity * 200
         select user_id, count(*) as count, round(sum(median * pow(0.75, n - i) * (case when i = 1 then 1 else 0.25 end)), 6) + 0.0 as "offset", round(sum(greatest(0.0, wobble) * pow(0.75, n - i) * (case when i = 1 then 1 else 0.25 end)), 6) + 0.0 as wobble from k group by user_id"""
 
 
+_USED = ["user_id", "attempt_id", "attempt_no", "target_id", "slot", "target_midi", "residual_cents", "verdict"]
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slots, short = _slots(spark, sf_dir), _shortened(spark, sf_dir)
+    slots = kept(_slots(spark, sf_dir).select(*_USED), "slots")  # four parts of a document are made of them
+    short = _shorter(slots)
     holds = _frames(spark, sf_dir).select(F.col("take_id").alias("user_id"), F.col("frame_idx").alias("at"), (F.col("clarity") * 200 - 100).alias("median"), (F.col("snr_db") - 10).alias("wobble"), (F.col("peak_to_second_db") * 2).alias("drift"))
     owners = slots.select("user_id", "target_id").distinct()
+    short = kept(short, "short")
     return shelf.documents(practice.interval_ledger(slots), practice.target_tallies(short), practice.attempt_history(short).select("target_id", "attempt_no", "verdicts"), practice.hold_averages(holds), owners)
 
 

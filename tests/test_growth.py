@@ -93,3 +93,11 @@ def test_folds_touch_their_state_once_a_block(spark):
     last = pd.concat(out).sort_values("version").groupby("user_id").last()
     assert len(last) == folds.BLOCK and set(last["clean"]) == {8} and set(last["version"]) == {4}
     assert handle.value.trips <= 5
+
+
+def test_a_library_makes_its_slots_once(spark):
+    """The parts of a document read the kept slots; each used to join the tables anew."""
+    from strophe.plans import shelves
+
+    plan = shelves._documents(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "verdict" in plan
