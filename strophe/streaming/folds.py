@@ -4,7 +4,8 @@ An attempt is one row (user_id, attempt_id, attempt_no, target_id, slots), numbe
 its key. Rows may come in any order, split over micro-batches in any way, and more than once: an attempt that is ahead waits
 in state until those before it are folded, and one that was folded already changes nothing. Each key
 gives out what it has changed, numbered by the attempts folded so far; ``newest`` keeps the last of these.
-Rows without a key or a number are no attempts. State is a row for each step or slot and the attempts that wait, never an attempt's history.
+Rows without a key or a number are no attempts. State is each key's steps or slots and the attempts that wait, never an attempt's
+history; a block of neighbouring keys has it as one JSON value.
 """
 
 from __future__ import annotations
