@@ -101,3 +101,21 @@ def test_a_library_makes_its_slots_once(spark):
 
     plan = shelves._documents(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan and "verdict" in plan
+
+
+def test_pairs_of_one_take_join_in_the_same_round(spark, monkeypatch):
+    """Rounds are as many as the longest chain of dropouts needs, not as the take has pairs; none sends a table to the driver."""
+    from test_notes import PERIOD, bare, ends, spans
+
+    from strophe.config import Config
+    from strophe.operators import merging
+
+    pair = [76.0] * 20 + [-1.0] + [76.0] * 20 + [None] * 3
+    frames = bare(spark, pair * 8).selectExpr("* except (smooth, voiced)", "if(smooth > 0, smooth, null) as smooth", "coalesce(smooth > 0, false) as voiced")
+    measured = merging.measure(spans(spark, *[(44 * k + a, 44 * k + a + 19, 44 * k + a) for k in range(8) for a in (0, 21)]), frames, Config())
+    written, kept = [], merging.kept
+    monkeypatch.setattr(merging, "kept", lambda df, tag: written.append((tag, df._jdf.queryExecution().executedPlan().toString())) or kept(df, tag))
+    joined = merging.join_to_fixpoint(measured, frames, Config(), PERIOD, merging.dropouts)
+    assert ends(joined) == [(44 * k, 44 * k + 40, 44 * k) for k in range(8)]
+    assert len([tag for tag, _ in written if tag == "marked"]) <= 3
+    assert not [tag for tag, plan in written if "Broadcast" in plan]
