@@ -119,3 +119,25 @@ def test_pairs_of_one_take_join_in_the_same_round(spark, monkeypatch):
     assert ends(joined) == [(44 * k, 44 * k + 40, 44 * k) for k in range(8)]
     assert len([tag for tag, _ in written if tag == "marked"]) <= 3
     assert not [tag for tag, plan in written if "Broadcast" in plan]
+
+
+@pytest.mark.parametrize("name", ["overlay_items", "verdict_chips", "echo_phrases", "octave_into_range"])
+def test_shares_of_tasks_are_bounded(spark, monkeypatch, name):
+    """With smaller shares there are more tasks, with the same rows, and the session's setting stays."""
+    from strophe.operators import frames
+    from strophe.plans import kernels, practice  # noqa: F401
+
+    plain = QUERIES[name](spark, SF)
+    wanted = rows(plain.toPandas())
+    monkeypatch.setattr(frames, "TASK_ROWS", 600)
+    parts = []
+    if name == "octave_into_range":
+        parts.append(QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString())
+        assert "RepartitionByExpression [seq_id" in parts[0] and parts[0].split("RepartitionByExpression")[1].splitlines()[0].rstrip().endswith("10")
+    from strophe.plans import views
+
+    kept = views.kept
+    monkeypatch.setattr(views, "kept", lambda df, tag: parts.append(spark.conf.get("spark.sql.shuffle.partitions")) or kept(df, tag))
+    assert rows(QUERIES[name](spark, SF).toPandas()) == wanted
+    assert name == "octave_into_range" or parts == ["10"]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
