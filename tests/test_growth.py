@@ -141,3 +141,17 @@ def test_shares_of_tasks_are_bounded(spark, monkeypatch, name):
     assert rows(QUERIES[name](spark, SF).toPandas()) == wanted
     assert name == "octave_into_range" or parts == ["10"]
     assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def test_a_sweep_prepares_frames_once(spark, monkeypatch):
+    """Presets differ in tolerance and drift only, which no step before the drafts reads; another voicing has frames of its own."""
+    from strophe.config import PRESETS, Config, override, preset
+    from strophe.operators import notes
+
+    asked = []
+    monkeypatch.setattr(notes, "prepared", lambda frames, rate, config: asked.append(config) or config)
+    monkeypatch.setattr(notes, "heard", lambda ready, rate, config: spark.createDataFrame([(str(ready.voicing.onset_db), config.segment.drift_cap)], "onset string, drift double"))
+    configs = {name: preset(name) for name in PRESETS} | {"loud": override(Config(), {"voicing.onset_db": 20.0})}
+    found = {r.config_id: (float(r.onset), r.drift) for r in notes.sweep(None, 48000, configs).collect()}
+    assert len(asked) == 2
+    assert found == {name: (c.voicing.onset_db, c.segment.drift_cap) for name, c in configs.items()}
