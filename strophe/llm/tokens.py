@@ -12,8 +12,8 @@ In both, a sign of ``,.;:!?`` after a letter begins a pre-token. Special strings
 never splits one. Texts with another kind of space or with the separator used here are encoded whole.
 
 Texts go through Arrow kernels in groups: cut, dictionary-encode, look the distinct pieces up, gather.
-Unknown pieces go to the library in one call. Memory is bounded: a group holds about ``GROUP_BYTES`` and
-the table of known pieces holds about ``MEMO_PIECES`` entries: when its newer half is full, the older half goes,
+Unknown pieces go to the library in calls of ``CALL_PIECES``; in the second family joined by spaces, as one text. Memory is
+bounded: a group holds about ``GROUP_BYTES`` and the table of known pieces about ``MEMO_PIECES`` entries (``MEMO_DROPPED``): when its newer half is full, the older half goes,
 and what is met again moves to the newer one.
 """
 
@@ -32,6 +32,10 @@ from .common import held
 
 GROUP_BYTES = 3 << 20
 MEMO_PIECES = 400_000
+#: The same where the library takes many pieces as one text, which costs less than a call a piece.
+MEMO_DROPPED = 200_000
+#: Pieces of one call: what the library makes of them is some ten times their size.
+CALL_PIECES = 16_384
 #: Longer pieces are encoded each time and not remembered.
 MEMO_LENGTH = 64
 
@@ -44,7 +48,8 @@ _LETTER_SIGN = "([A-Za-zÀ-ÖØ-öø-įı-ſ])([,.;:!?])"
 
 def groups(texts: pa.Array, limit: int = GROUP_BYTES) -> Iterator[pa.Array]:
     """Slices of neighbouring texts of about limit bytes each, without nulls; null counts as empty."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = texts.cast(pa.large_string())
+    texts = pc.fill_null(texts, "") if texts.null_count else texts  # which would copy them
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     first = 0
     while first < len(texts):
@@ -61,11 +66,14 @@ def ragged_take(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
     return flat[shift + np.arange(len(shift))]
 
 
-def distinct_pieces(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct pieces of texts, a code for each piece in order, and where each text's pieces begin."""
-    marked = pc.replace_substring(texts, " ", _MARK + " ")
-    marked = pc.replace_substring_regex(marked, _LETTER_SIGN, f"\\1{_MARK}\\2")
-    cut = pc.split_pattern(marked, _MARK)
+def distinct_pieces(texts: pa.Array, dropped: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct pieces of texts, a code for each piece in order, and where each text's pieces begin.
+
+    Where spaces are dropped, pieces have none, so a word is the same piece with and without one before it."""
+    mark = " " if dropped else _MARK
+    marked = texts if dropped else pc.replace_substring(texts, " ", _MARK + " ")
+    marked = pc.replace_substring_regex(marked, _LETTER_SIGN, f"\\1{mark}\\2")
+    cut = pc.split_pattern(marked, mark)
     coded = cut.flatten().dictionary_encode()
     bounds = cut.offsets.to_numpy().astype(np.int64)
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(), bounds - bounds[0]
@@ -88,6 +96,9 @@ class Encoder:
             spec = json.load(f)
         self.kind = self._family(spec)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.mark = self._mark() if self.kind == "dropped" else None
+        self.last = self._last(spec["model"])
+        self.memo = MEMO_DROPPED if self.mark is not None else MEMO_PIECES
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -107,13 +118,49 @@ class Encoder:
                 return "dropped"
         return "whole"
 
+    def _mark(self) -> int | None:
+        """The one id that the separator has as a word, if it has one."""
+        alone, between = (self.library.encode(t, add_special_tokens=False).ids for t in (_MARK, f". {_MARK} ."))
+        return alone[0] if len(alone) == 1 and len(between) == 3 and between.count(alone[0]) == 1 else None
+
+    def _last(self, model: dict) -> np.ndarray:
+        """Which ids end a word; none do where the model doesn't say."""
+        last, suffix = np.zeros(self.library.get_vocab_size(), bool), model.get("end_of_word_suffix")
+        if self.mark is not None and suffix:
+            last[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
+        return last
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """The library's ids of each piece, all of them in one call."""
-        if not pieces:
-            return []
+        """The library's ids of each piece, CALL_PIECES of them in one call."""
+        call = self._call if self.mark is None else self._joined
+        return [ids for i in range(0, len(pieces), CALL_PIECES) for ids in call(pieces[i : i + CALL_PIECES])]
+
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """As two texts: pieces of letters, of which each is a word, and others with the separator between them, a word and an id of its own."""
+        out = {}
+        words = [p for p in pieces if p.isalpha()] if self.last.any() else []
+        ids = self._text(" ".join(words))
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(words):  # else some piece is not one word
+            out.update(zip(words, self._sliced(ids, np.append(0, ends[:-1]), ends)))
+        others = [p for p in pieces if p not in out]
+        if others:
+            ids = self._text(f" {_MARK} ".join(others))
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+            out.update(zip(others, self._sliced(ids, np.append(0, ends[:-1] + 1), ends), strict=True))
+        return [out[p] for p in pieces]
+
+    def _text(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    def _sliced(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        raw, w = ids.tobytes(), self.dtype.itemsize
+        return [raw[a:b] for a, b in zip((starts * w).tolist(), (ends * w).tolist())]
+
+    def _call(self, pieces: list[str]) -> list[bytes]:
         got = self.library.encode(pieces, is_pretokenized=True, add_special_tokens=False)
         ids = np.array(got.ids, self.dtype)
         words = np.array([-1 if w is None else w for w in got.word_ids], np.int64)
@@ -122,7 +169,7 @@ class Encoder:
         return [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
     def _lookup(self, names: list[str]) -> list[bytes]:
-        if len(self.known) > MEMO_PIECES // 2:
+        if len(self.known) > self.memo // 2:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
         new = []
@@ -144,7 +191,7 @@ class Encoder:
             raw = self._whole(texts.to_pylist())
             return np.frombuffer(b"".join(raw), self.dtype), np.array([len(r) for r in raw], np.int64) // self.dtype.itemsize
         lone = apart(texts)
-        names, codes, bounds = distinct_pieces(pc.if_else(pa.array(lone), "", texts) if lone.any() else texts)
+        names, codes, bounds = distinct_pieces(pc.if_else(pa.array(lone), "", texts) if lone.any() else texts, self.kind == "dropped")
         raw = self._lookup(names)
         sizes = np.array([len(r) for r in raw], np.int64) // self.dtype.itemsize
         flat = np.frombuffer(b"".join(raw), self.dtype)

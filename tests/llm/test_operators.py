@@ -79,6 +79,20 @@ def test_a_small_memory_of_pieces_changes_nothing(monkeypatch):
     assert [x for g in got for x in g] == [x for e in own.library.encode_batch(texts, add_special_tokens=False) for x in e.ids]
 
 
+def test_dropped_spaces_make_no_pieces_of_their_own(monkeypatch):
+    import pyarrow as pa
+
+    draw = random.Random(5)
+    words = ["word", "Word", "क़", "ǅ", "ªº", "x́", "a1", "...", "'s", "don't", "<|endoftext|>", "中文", "İ", "Σ", "é.", "a,b", "</w>", "w>", "\x01"]
+    texts = ["".join(draw.choice(words) + draw.choice([" ", "  ", "\n"]) for _ in range(draw.randint(0, 12))).strip() for _ in range(2000)]
+    monkeypatch.setattr(tokens, "CALL_PIECES", 7)
+    monkeypatch.setattr(tokens, "MEMO_DROPPED", 20)
+    own = tokens.Encoder(WORDS)
+    got = [i for ids, _ in own.ids(pa.array(texts)) for i in ids.tolist()]
+    assert got == [i for e in own.library.encode_batch(texts, add_special_tokens=False) for i in e.ids]
+    assert own.mark is not None and own.last.any() and "word" in own.known and not [p for p in own.known if " " in p]
+
+
 def test_token_counts(docs, none):
     got = sorted(bpecount.count_tokens(docs, BYTES).collect(), key=str)
     want = [(r.doc_id, len((r.text or "").encode()), n := len(library(BYTES, r.text)), n > 1024) for r in docs.collect()]
