@@ -10,6 +10,7 @@ later. Rows without a source or a token belong to none. Rows come in the order o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 from typing import Any
 
 import pandas as pd
@@ -22,9 +23,12 @@ from ..operators.melody import live_trail
 MOST_POINTS = 6000
 MOST_SEC = 60.0
 TRAIL = "source_id long, token long, n long, at_us long, midi double"
+TRAIL_COLUMNS = [c.split()[0] for c in TRAIL.split(", ")]
 
 
 class LiveTrail(StatefulProcessor):
+    """One source. A micro-batch reads and writes its state once: sessions that begin and end within it leave no points and no timer there."""
+
     def __init__(self, most: int, most_us: int) -> None:
         self.most, self.most_us = most, most_us
 
@@ -33,16 +37,19 @@ class LiveTrail(StatefulProcessor):
         self.session = handle.getValueState("session", "token long, end long, held long, silent boolean, open boolean")
         self.points = handle.getListState("points", "at_us long, midi double")
 
-    def _given(self, key: Any, token: int) -> pd.DataFrame:
-        trail = [(at, midi) for at, midi in self.points.get()][-self.most :] if self.points.exists() else []
+    def _take(self) -> list[tuple]:
+        """The points in state, which is empty then."""
+        stored = [tuple(p) for p in self.points.get()]
         self.points.clear()
-        return pd.DataFrame([(key[0], token, i, at, midi) for i, (at, midi) in enumerate(trail)], columns=["source_id", "token", "n", "at_us", "midi"])
+        return stored
+
+    def _given(self, key: Any, token: int, trail: list[tuple]) -> list[tuple]:
+        return [(key[0], token, i, at, midi) for i, (at, midi) in enumerate(trail[-self.most :])]
 
     def _store(self, added: list[tuple], held: int) -> int:
         """Appends points; the list is cut to its newest only when it has grown to twice as many."""
         if held + len(added) > 2 * self.most:
-            old = list(self.points.get()) if self.points.exists() else []
-            added = (old + added)[-self.most :]
+            added = ((self._take() if held else []) + added)[-self.most :]
             self.points.put(added)
             return len(added)
         if added:
@@ -50,24 +57,22 @@ class LiveTrail(StatefulProcessor):
         return held + len(added)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        token, end, held, silent, open_ = self.session.get() if self.session.exists() else (None, 0, 0, False, False)
+        token, end, held, silent, open_ = before = self.session.get() or (None, 0, 0, False, False)
+        timer = end // 1000 + 1 if open_ else None  # of the session that was open, while it is registered
         added: list[tuple] = []
-        every = pd.concat(list(rows)).sort_values("at_us", kind="stable")
-        for t, at, midi in zip(every["token"].tolist(), every["at_us"].tolist(), every["midi"].tolist(), strict=True):
+        out: list[tuple] = []
+        every = [row for part in rows for row in zip(part["token"].tolist(), part["at_us"].tolist(), part["midi"].tolist(), strict=True)]
+        for t, at, midi in sorted(every, key=itemgetter(1)):
             if token is not None and t < token:
                 continue  # of a session that was overtaken
             if open_ and at >= end:
-                self._store(added, held)
+                out += self._given(key, token, (self._take() if held else []) + added)
                 added, open_, held = [], False, 0
-                self.handle.deleteTimer(end // 1000 + 1)
-                yield self._given(key, token)
             if token is None or t > token:
-                if open_:
-                    added = []
+                if open_ and held:
                     self.points.clear()
-                    self.handle.deleteTimer(end // 1000 + 1)
+                added = []
                 token, end, held, silent, open_ = t, at + self.most_us, 0, False, True
-                self.handle.registerTimer(end // 1000 + 1)
             if not open_:
                 continue  # the take has ended
             if midi is None or midi != midi:
@@ -79,13 +84,23 @@ class LiveTrail(StatefulProcessor):
                 added.append((at, float(midi)))
                 silent = False
         held = self._store(added, held) if open_ else 0
-        self.session.update((token, end, held, silent, open_))
+        due = end // 1000 + 1 if open_ else None
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if (now := (token, end, held, silent, open_)) != before:
+            self.session.update(now)
+        if out:
+            yield pd.DataFrame(out, columns=TRAIL_COLUMNS)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        token, end, _, _, open_ = self.session.get()
+        token, end, held, _, open_ = self.session.get()
         if open_ and expiredTimerInfo.getExpiryTimeInMs() > end // 1000:
-            yield self._given(key, token)
+            trail = self._given(key, token, self._take() if held else [])
             self.session.update((token, end, 0, False, False))
+            yield pd.DataFrame(trail, columns=TRAIL_COLUMNS)
 
     def close(self) -> None:
         pass

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +170,37 @@ def test_trails_of_sessions(spark, tmp_path):
     assert got.where("source_id = 1 and token = 1").count() == 25 and got.where("token = 2").count() == 1
 
 
+class Counted:
+    """A state or a handle that counts its calls by name."""
+
+    def __init__(self, calls, value=None, items=()):
+        self.calls, self.value, self.items = calls, value, list(items)
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            if name == "update":
+                self.value = args[0]
+            elif name in ("put", "appendList"):
+                self.items = ([] if name == "put" else self.items) + list(args[0])
+            elif name == "clear":
+                self.items = []
+            return self.value if name == "get" and self.value is not None else iter(self.items) if name == "get" and self.items else bool(self.value or self.items) if name == "exists" else None
+
+        return call
+
+
+def test_a_batch_reads_and_writes_a_sources_state_once():
+    calls = []
+    own = sessions.LiveTrail(6, 60_000_000)
+    own.handle, own.session, own.points = Counted(calls), Counted(calls), Counted(calls)
+    rows = [(token, 1_000_000 * (100 * token + s), 70.0) for token in range(20) for s in range(80)]  # each take ends by itself but the last's
+    rows = [r for r in rows if r[0] < 19 or r[1] < 1_000_000 * (1900 + 30)]
+    got = list(own.handleInputRows((1,), iter([pd.DataFrame(rows, columns=["token", "at_us", "midi"])]), None))
+    assert sum(map(len, got)) == 19 * 6 and len(got) == 1
+    assert sorted(calls) == ["appendList", "get", "registerTimer", "update"] or sorted(calls) == ["get", "put", "registerTimer", "update"]
+
+
 def test_trails_restart(spark, tmp_path):
     first = [point(1, 1, s, 70.0 + s) for s in range(30)]
     second = [point(1, 1, s, 70.0 + s) for s in range(30, 65)]
