@@ -155,3 +155,13 @@ def test_a_sweep_prepares_frames_once(spark, monkeypatch):
     found = {r.config_id: (float(r.onset), r.drift) for r in notes.sweep(None, 48000, configs).collect()}
     assert len(asked) == 2
     assert found == {name: (c.voicing.onset_db, c.segment.drift_cap) for name, c in configs.items()}
+
+
+def test_a_floor_goes_through_its_frames_once(spark):
+    from strophe.operators import voicing
+
+    rows = [(t, i, float((i * 29 + t) % 64) - 90, i % 5 == 0) for t in range(2) for i in range(60)]
+    frames = spark.createDataFrame(rows, "take_id long, frame_idx long, band_rms_db double, tonal boolean")
+    floored = voicing.with_floor(frames, window=9)
+    assert floored.count() == len(rows)
+    assert floored._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
