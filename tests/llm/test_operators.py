@@ -433,6 +433,27 @@ def test_recall_of_short_alike_lines(spark):
     assert sum(r.n_removed == 0 for r in report) <= 20 and all(r.removed in ("", "1") for r in report)
 
 
+def test_first_shingles_of_lines(spark):
+    import random
+
+    draw = random.Random(8)
+    base = "".join(draw.choice("abcdefgh ") for _ in range(120))
+    lines = [base[:k] + draw.choice("XYZ") + base[k + 1 :] for k in draw.sample(range(120), 40)] + ["".join(draw.choice("abcdefgh ") for _ in range(60)) for _ in range(20)]
+    sets = [{x[k : k + linededup.SHINGLE] for k in range(len(x) - linededup.SHINGLE + 1)} for x in lines]
+    texts = spark.createDataFrame(list(enumerate(lines)), "lid long, line string")
+    labelled = spark.createDataFrame([(i, i // 2) for i in range(len(lines))], "lid long, label long")
+    rare = linededup._rare(labelled, texts).collect()
+    holders = {}
+    for r in rare:
+        holders.setdefault(r.h, set()).add(r.label)
+    assert all(r["size"] == len(sets[r.lid]) and 0 <= r["at"] <= len(sets[r.lid]) / 5 for r in rare)
+    assert max(r.lid for r in rare) < 40  # unlike lines have too many shingles of their own to be looked up
+    want = {(a, b) for b, a in combinations(range(len(lines)), 2) if a // 2 != b // 2 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    got = {tuple(r) for r in linededup._rare_pairs(labelled, texts).collect()}
+    assert len(want) > 100 and want <= got
+    assert linededup.SMALL <= 16  # pairs within a bucket grow with its square
+
+
 def test_components_of_long_paths(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (300, 200), (200, 250)]
     got = dict(tuple(r) for r in components.components(spark.createDataFrame(path, "u long, v long")).collect())
