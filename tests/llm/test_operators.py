@@ -88,6 +88,9 @@ def test_dropped_spaces_make_no_pieces_of_their_own(monkeypatch):
     monkeypatch.setattr(tokens, "CALL_PIECES", 7)
     monkeypatch.setattr(tokens, "MEMO_DROPPED", 20)
     own = tokens.Encoder(WORDS)
+    signs = [c for c in map(chr, range(0x41, 0x100)) if tokens.LATIN.fullmatch(c)]
+    words = [*signs, *(a + b + a for a, b in zip(signs, reversed(signs)))]
+    assert own._small(" ".join(words)).tolist() == library(WORDS, " ".join(words))
     got = [i for ids, _ in own.ids(pa.array(texts)) for i in ids.tolist()]
     assert got == [i for e in own.library.encode_batch(texts, add_special_tokens=False) for i in e.ids]
     assert own.mark is not None and own.last.any() and "word" in own.known and not [p for p in own.known if " " in p]
