@@ -457,6 +457,40 @@ def test_first_shingles_of_lines(spark):
     assert linededup.SMALL <= 16  # pairs within a bucket grow with its square
 
 
+def test_lines_just_unlike_a_family_are_not_paired_with_it(spark):
+    """Lines that are 0.72 alike to a group of copies, by pieces that are frequent elsewhere, make no pairs that grow with the product of both."""
+    import random
+    import string
+
+    draw = random.Random(9)
+    bases = ["".join(draw.choice(string.ascii_lowercase) for _ in range(300)) for _ in range(2)]
+    made = []  # (family, label, line)
+    for b, copies in ((0, 40), (1, 100)):
+        for _ in range(copies):
+            k = draw.randrange(300)
+            made.append((b, b, bases[b][:k] + draw.choice("0123456789") + bases[b][k + 1 :]))
+        for i in range(30):
+            k, j = draw.randrange(20, 240), draw.randrange(20, 240)
+            made.append((b, 100 * (b + 1) + i, bases[b][:k] + bases[1 - b][j : j + 40] + bases[b][k + 40 :]))
+        made.append((b, 1000 + b, bases[b][:150] + "#####" + bases[b][155:]))
+    sets = [{x[k : k + linededup.SHINGLE] for k in range(len(x) - linededup.SHINGLE + 1)} for _, _, x in made]
+    texts = spark.createDataFrame([(i, x) for i, (_, _, x) in enumerate(made)], "lid long, line string")
+    labelled = spark.createDataFrame([(i, label, family) for i, (family, label, _) in enumerate(made)], "lid long, label long, family long")
+    want = {(a, b) for b, a in combinations(range(len(made)), 2) if made[a][1] != made[b][1] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    got = {tuple(r) for r in linededup._rare_pairs(labelled, texts).collect()}
+    assert len(want) > 100 and want <= got
+    assert len(got) <= len(want) + 500  # the outer lines and the copies of both families are 4,200 pairs
+
+
+def test_families_are_joined_by_keys_and_labels(spark):
+    rows = [(1, 10, 100), (1, 11, 101), (2, 12, 101), (2, 13, 102), (3, 14, 103), (3, 15, 104)]
+    got = linededup._families(spark.createDataFrame(rows, "key long, lid long, label long")).collect()
+    families = {}
+    for r in got:
+        families.setdefault(r.family, set()).add((r.lid, r.label))
+    assert sorted(map(sorted, families.values())) == [[(10, 100), (11, 101), (12, 101), (13, 102)], [(14, 103), (15, 104)]]
+
+
 def test_components_of_long_paths(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (300, 200), (200, 250)]
     got = dict(tuple(r) for r in components.components(spark.createDataFrame(path, "u long, v long")).collect())
