@@ -491,6 +491,22 @@ def test_families_are_joined_by_keys_and_labels(spark):
     assert sorted(map(sorted, families.values())) == [[(10, 100), (11, 101), (12, 101), (13, 102)], [(14, 103), (15, 104)]]
 
 
+def test_signatures_are_narrow(spark, tmp_path):
+    """Texts are dealt out once, no minima are; a line's signature is of 15 words, where keys of all bands were 37."""
+    import random
+
+    draw = random.Random(10)
+    rows = [(i % 3900, "".join(draw.choice("abcdefgh ") for _ in range(60))) for i in range(3900)]
+    lines = spark.createDataFrame(rows + rows[:100], "lid long, line string")
+    signed = linededup.signatures(lines)
+    plan = signed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.index("Generate explode") < plan.index("Exchange ")
+    signed.coalesce(1).write.parquet(str(tmp_path / "signed"))
+    assert sum(f.stat().st_size for f in (tmp_path / "signed").glob("*.parquet")) < 160 * 3900
+    weights = {r.lid: r.weight for r in signed.collect()}
+    assert len(weights) == 3900 and all(w == 4 * (1 + (i < 100)) for i, w in weights.items())  # 56 shingles in steps of 16
+
+
 def test_components_of_long_paths(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (300, 200), (200, 250)]
     got = dict(tuple(r) for r in components.components(spark.createDataFrame(path, "u long, v long")).collect())
